@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from locusforge import rules
@@ -34,33 +35,33 @@ def _domains(ids) -> str:
     return "-".join(out)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def revcomp(s: pd.Series) -> pd.Series:
     return s.map(_revcomp)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def translate_frame(s: pd.Series, strand: pd.Series, frame: pd.Series) -> pd.Series:
     return pd.Series([_frame(a, b, c) for a, b, c in zip(s, strand, frame, strict=True)], dtype=object)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def domain_string(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: None if x is None else _domains(x))
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def has_signature(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: None if x is None else scan.has_signature([int(i) for i in x]))
 
 
-@udtf(returnType="frag_offset bigint, frag string")
+@udtf(returnType=T.StructType([T.StructField("frag_offset", T.LongType()), T.StructField("frag", T.StringType())]))
 class Chop:
     def eval(self, sequence: str, length: int, overlap: int) -> Iterator[tuple[int, str]]:
         yield from cut(iter([sequence or ""]), length, overlap)
 
 
-@udtf(returnType="strand string, frame int, protein string")
+@udtf(returnType=T.StructType([T.StructField("strand", T.StringType()), T.StructField("frame", T.IntegerType()), T.StructField("protein", T.StringType())]))
 class SixFrames:
     def eval(self, dna: str) -> Iterator[tuple[str, int, str]]:
         for strand, frame, protein in scan.six((dna or "").encode()):
