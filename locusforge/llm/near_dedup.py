@@ -1,11 +1,12 @@
 """MinHash near-dedup with an LSH forest.
 
-Each distinct shingle set (an exact class: copies collapse here, before anything is paired) has 64 minhashes. Tree t
-orders the sets by the signature rotated to start at component 3t. Sets that share the first 3 components in a tree are
-a region; inside it, in sorted order, each set is a candidate with its next neighbours, whose common prefix is the
-longest, and with the region's least set. A region of more than REGION sets is cut again at the next depth (6, 12, 24,
-48, 64 components), so dense regions get deep keys and sparse ones shallow keys; at each depth the crowded sets are
-candidates of the region's least set too. At the greatest depth the sets hold equal signatures and that star is enough.
+Each distinct shingle set (an exact class: copies collapse here, before anything is paired) has 128 minhashes. Tree t
+orders the sets by the first 64 of them rotated to start at component 3t. Sets that share the first 3 components in a
+tree are a region. A region of more than REGION sets is cut again at the next depth (6, 12, 24, 48, 64 components), so
+dense regions get deep keys and sparse ones shallow keys; at each depth the crowded sets are candidates of the region's
+least set too. In a region all pairs are compared by signature, in order of likeness (the order of common prefixes, over
+all components): those likely over the threshold are candidates, except where stronger candidates already connect the
+two by more than one way. At the greatest depth the sets hold equal signatures and the star is enough.
 
 Candidates are then confirmed on the full sets, in two rounds: first each set with the partner it shares most regions
 with; then every candidate pair that the confirmed links have not yet put in one component. So no candidate is
@@ -31,10 +32,12 @@ from . import textarrays as ta
 from .common import materialize
 from .components import components
 
-HASHES, STEP = 64, 3
-TREES = HASHES // STEP
+HASHES, TREE_HASHES, STEP = 128, 64, 3
+TREES = TREE_HASHES // STEP
 DEPTHS = (3, 6, 12, 24, 48, 64)
-REGION, NEIGHBOURS = 64, 4
+REGION = 256
+#: Shares of equal minhashes: under LIKELY a pair at 0.75 falls with probability 0.0005; over SURE few pairs are under 0.75.
+LIKELY, SURE = 0.625, 0.85
 #: Tables of ids are broadcast up to this many rows (16 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 PERCENT = 75
@@ -56,7 +59,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 keys.append(ta.set_key(s))
                 sigs.append(ta.minhash(s, family) if len(s) else None)
-            yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["id", "n", "c1", "c2", "sig"])
+            trees = [None if x is None else x[:TREE_HASHES] for x in sigs]
+            marks = [None if x is None else (x & 255).astype(np.uint8).tobytes() for x in sigs]
+            yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(trees, pa.list_(pa.int32())), pa.array(marks, pa.binary())], ["id", "n", "c1", "c2", "sig", "mark"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,20 +78,50 @@ def few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
 
 
 def _at_depth(rows: DataFrame, depth: int) -> DataFrame:
-    """rows(node, tree, sig): region at this depth, and the two components that follow as sort key."""
-    turned = "concat(sig, sig)"
-    after = f"shiftleft(cast(element_at({turned}, {STEP} * tree + {min(depth, HASHES - 2)} + 1) AS bigint), 32) + element_at({turned}, {STEP} * tree + {min(depth, HASHES - 2)} + 2)"
-    return rows.select("node", "tree", F.expr(f"xxhash64(tree, slice({turned}, {STEP} * tree + 1, {depth}))").alias("region"), F.expr(after).alias("next"))
-
-
-_NEAR = f"""flatten(transform(sequence(1, size(m)), i -> concat(
-    transform(slice(m, i + 1, {NEIGHBOURS}), y -> named_struct('a', least(m[i - 1].node, y.node), 'b', greatest(m[i - 1].node, y.node))),
-    CASE WHEN i > {NEIGHBOURS} THEN array(named_struct('a', least(m[i - 1].node, m[0].node), 'b', greatest(m[i - 1].node, m[0].node))) ELSE array() END)))"""
+    """rows(node, tree, sig, mark): the region at this depth."""
+    return rows.select("node", "tree", "mark", F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {depth}))").alias("region"))
+
+
+def likely_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
+    """Of a region's sets (at most REGION) the pairs worth confirming, the smaller node first."""
+    n = len(nodes)
+    i, j = np.triu_indices(n, 1)
+    like = np.concatenate([(marks[i[k : k + 8192]] == marks[j[k : k + 8192]]).mean(axis=1) for k in range(0, len(i), 8192)])
+    keep = np.flatnonzero(like >= LIKELY)
+    keep = keep[np.argsort(-like[keep], kind="stable")]
+    forests = [list(range(n)), list(range(n))]  # two edge-disjoint forests: one failed link doesn't part what it joins
+
+    def root(forest: list[int], x: int) -> int:
+        while forest[x] != x:
+            forest[x] = x = forest[forest[x]]
+        return x
+
+    out = []
+    for x, y, s in zip(i[keep].tolist(), j[keep].tolist(), like[keep].tolist(), strict=True):
+        for forest in forests:
+            a, b = root(forest, x), root(forest, y)
+            if a != b:
+                if s >= SURE:
+                    forest[a] = b
+                out.append((int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y]))))
+                break
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = []
+        nodes, marks = batch.column("nodes"), batch.column("marks")
+        for x, m in zip(nodes, marks, strict=True):
+            x = x.values.to_numpy()
+            pairs += likely_pairs(x, np.frombuffer(b"".join(m.values.to_pylist()), np.uint8).reshape(len(x), -1))
+        yield pa.record_batch([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """classes(node, sig, ...) -> (a, b, w), a < b: candidate pairs and the number of regions that put them together."""
-    rows = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    """classes(node, sig, mark, ...) -> (a, b, w), a < b: candidate pairs and the number of regions that put them together."""
+    slim = classes.select("node", "sig", "mark")
+    rows = slim.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     parts = []
     for depth in DEPTHS:
         keyed = _at_depth(rows, depth)
@@ -94,13 +129,14 @@ def candidates(classes: DataFrame) -> DataFrame:
         parts.append(live.filter("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")))
         wide = few(live.filter("size > 2").drop("most"))
         members = keyed.join(wide, "region")
-        together = members.filter(f"size <= {REGION}").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("next", "node"))).alias("m"))
-        parts.append(together.select(F.explode(F.expr(_NEAR)).alias("p")).select("p.a", "p.b"))
+        item = F.array_sort(F.collect_list(F.struct("node", "mark")))
+        together = members.filter(f"size <= {REGION}").groupBy("region").agg(item.alias("m")).select(F.col("m.node").alias("nodes"), F.col("m.mark").alias("marks"))
+        parts.append(together.mapInArrow(_near, "a long, b long"))
         if live.filter(f"size > {REGION}").isEmpty():
             break
         crowded = materialize(members.filter(f"size > {REGION}").select("node", "tree", "least"), "crowded")
         parts.append(crowded.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
-        rows = crowded.select("node", "tree").join(classes.select("node", "sig"), "node")
+        rows = crowded.select("node", "tree").join(slim, "node")
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.union(p)
@@ -119,9 +155,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (least id of its component; its own id if linked with nothing)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(base.mapInArrow(_sign, "id long, n long, c1 long, c2 long, sig array<int>"), "signed")
+    rows = materialize(base.mapInArrow(_sign, "id long, n long, c1 long, c2 long, sig array<int>, mark binary"), "signed")
     owned = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = materialize(owned.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).withColumnRenamed("c1", "node"), "classes")
+    classes = materialize(owned.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("mark").alias("mark")).withColumnRenamed("c1", "node"), "classes")
     pairs = materialize(candidates(classes), "pairs")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node")
     need = few(materialize(need.select(F.col("rep").alias("id"), F.col("node").alias("want")), "need"))
