@@ -158,7 +158,7 @@ class WordBPE:
         """(ids as text, decoded text, number of ids) of a word."""
         if isinstance(word, int):
             return str(word), self.decode([word]), 1
-        found = self.memory.get(word)
+        found = self.memory.find([word])[0]
         if found is None:
             ids = self.ids_of(word)
             found = self.memory.put(word, (" ".join(map(str, ids)), self.decode(ids), len(ids)))
@@ -181,7 +181,9 @@ class WordBPE:
         first = np.searchsorted(starts, offs)
         good = ~np.repeat(odd, np.diff(first))
         common[which[good]] = True
-        found = [self.known(w) if c else ("", "", 0) for w, c in zip(words, common.tolist(), strict=True)]
+        found = self.memory.find(words)
+        for i in np.flatnonzero(common & np.array([x is None for x in found], bool)).tolist():
+            found[i] = self.known(words[i])
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
             if odd[i]:
                 got = [self.known(w) for w in self.words(column[i].as_py())]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ INDEX = struct.Struct(">QQI")
 BLOCK_BYTES, SHARD_BLOCKS = 1 << 16, 96
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-MEMORY = 300_000
+MEMORY = 500_000
 #: Two-byte characters that are all letters, by first byte.
 LEADS = (*range(0xC3, 0xCB), 0xD0, 0xD1)
 
@@ -184,12 +185,14 @@ class ByteBPE:
         first = np.searchsorted(starts, offs)
         common = np.zeros(len(words), bool)
         common[which[~np.repeat(odd, np.diff(first))]] = True
-        found = [self.memory.get(w) if c else b"" for w, c in zip(words, common.tolist(), strict=True)]
-        missing = [i for i, x in enumerate(found) if x is None]
+        found = self.memory.find(words)
+        missing = [i for i, (x, c) in enumerate(zip(found, common.tolist(), strict=True)) if x is None and c]
+        code = "H" if self.width == 2 else "I"
         for i, e in zip(missing, library.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False), strict=True):
-            found[i] = self.memory.put(words[i], np.array(e.ids, kind).tobytes())
+            found[i] = self.memory.put(words[i], array(code, e.ids).tobytes())
+        found = [x or b"" for x in found]
         flat = np.frombuffer(b"".join(found), kind)
-        size = np.array([len(x) // self.width for x in found], np.int64)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
         begin = np.cumsum(size) - size
         n = size[which]
         total = np.concatenate([[0], np.cumsum(n)])
