@@ -6,7 +6,7 @@ tree are a region. A region of more than REGION sets is cut again at the next de
 dense regions get deep keys and sparse ones shallow keys; at each depth the crowded sets are candidates of the region's
 least set too. In a region all pairs are compared by signature, in order of likeness (the order of common prefixes, over
 all components): those likely over the threshold are candidates, except where stronger candidates already connect the
-two by more than one way. At the greatest depth the sets hold equal signatures and the star is enough.
+two in WAYS separate ways (so each set keeps its WAYS likeliest partners). At the greatest depth the sets hold equal signatures and the star is enough.
 
 Candidates are then confirmed on the full sets, in two rounds: first each set with the partner it shares most regions
 with; then every candidate pair that the confirmed links have not yet put in one component. So no candidate is
@@ -36,8 +36,8 @@ HASHES, TREE_HASHES, STEP = 128, 64, 3
 TREES = TREE_HASHES // STEP
 DEPTHS = (3, 6, 12, 24, 48, 64)
 REGION = 256
-#: Shares of equal minhashes: under LIKELY a pair at 0.75 falls with probability 0.0005; over SURE few pairs are under 0.75.
-LIKELY, SURE = 0.625, 0.85
+#: Share of equal minhashes under which a pair at 0.75 falls with probability 0.0005; ways that connect two sets.
+LIKELY, WAYS = 0.625, 4
 #: Tables of ids are broadcast up to this many rows (16 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 PERCENT = 75
@@ -89,7 +89,7 @@ def likely_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
     like = np.concatenate([(marks[i[k : k + 8192]] == marks[j[k : k + 8192]]).mean(axis=1) for k in range(0, len(i), 8192)])
     keep = np.flatnonzero(like >= LIKELY)
     keep = keep[np.argsort(-like[keep], kind="stable")]
-    forests = [list(range(n)), list(range(n))]  # two edge-disjoint forests: one failed link doesn't part what it joins
+    forests = [list(range(n)) for _ in range(WAYS)]  # edge-disjoint: a link that fails doesn't part what it joined
 
     def root(forest: list[int], x: int) -> int:
         while forest[x] != x:
@@ -97,12 +97,11 @@ def likely_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for x, y, s in zip(i[keep].tolist(), j[keep].tolist(), like[keep].tolist(), strict=True):
+    for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
         for forest in forests:
             a, b = root(forest, x), root(forest, y)
             if a != b:
-                if s >= SURE:
-                    forest[a] = b
+                forest[a] = b
                 out.append((int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y]))))
                 break
     return out
