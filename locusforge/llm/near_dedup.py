@@ -10,7 +10,9 @@ two in WAYS separate ways (so each set keeps its WAYS likeliest partners). At th
 
 Candidates are then confirmed on the full sets, in two rounds: first each set with the partner it shares most regions
 with; then every candidate pair that the confirmed links have not yet put in one component. So no candidate is
-left unjudged, and copies and large groups of near copies cost one comparison each.
+left unjudged, and copies and large groups of near copies cost one comparison each. Deeper keys lose links, so a third
+round returns to the regions of over REGION sets at depth 3: there every pair whose ends are still in different
+components is compared by signature, in pairs of blocks (across.py), and the likely ones are confirmed, without any bound.
 
 A pair at exactly 0.75 is missed by all 21 trees at depth 3 with probability (1 - 0.75**3)**21 = 1e-5.
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import across
 from . import textarrays as ta
 from .common import materialize
 from .components import components
@@ -77,9 +80,9 @@ def few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _at_depth(rows: DataFrame, depth: int) -> DataFrame:
-    """rows(node, tree, sig, mark): the region at this depth."""
-    return rows.select("node", "tree", "mark", F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {depth}))").alias("region"))
+def _at_depth(rows: DataFrame, depth: int, kept: str = "mark") -> DataFrame:
+    """rows(node, tree, sig, and the column to keep): the region at this depth."""
+    return rows.select("node", "tree", kept, F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {depth}))").alias("region"))
 
 
 def likely_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
@@ -151,6 +154,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(f"100 * both >= {PERCENT} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _likely(marks: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    m = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1)
+    return np.concatenate([np.flatnonzero((m[i[k : k + 8192]] == m[j[k : k + 8192]]).mean(axis=1) >= LIKELY) + k for k in range(0, len(i), 8192)])
+
+
+def unjudged(classes: DataFrame, comp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): every likely pair of a crowded region whose ends confirmed links have not put in one component, without those of pairs."""
+    slim = classes.select("node", "sig", "mark").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = slim.select("node", "sig", "comp", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    members = _at_depth(rows, DEPTHS[0], "comp")
+    rows = across.unjoined(members, REGION, few)
+    found = across.met(rows.join(slim.select("node", "mark"), "node"), "mark", _likely)
+    return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (least id of its component; its own id if linked with nothing)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -171,6 +189,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = materialize(confirmed(rest, sets), "links")
     if not second.isEmpty():
         comp = components(first.union(second))
+    third = materialize(confirmed(unjudged(classes, comp, pairs), sets), "links")
+    if not third.isEmpty():
+        comp = components(first.union(second).union(third))
     least = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("c1"), "component_id")
     out = rows.select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("c1")).alias("c1")).join(least, "c1", "left")
