@@ -6,13 +6,14 @@ tree are a region. A region of more than REGION sets is cut again at the next de
 dense regions get deep keys and sparse ones shallow keys; at each depth the crowded sets are candidates of the region's
 least set too. In a region all pairs are compared by signature, in order of likeness (the order of common prefixes, over
 all components): those likely over the threshold are candidates, except where stronger candidates already connect the
-two in WAYS separate ways (so each set keeps its WAYS likeliest partners). At the greatest depth the sets hold equal signatures and the star is enough.
+two in WAYS separate ways (so each set keeps its WAYS likeliest partners; a first choice, the rest comes in round three). At the greatest depth the sets hold equal signatures and the star is enough.
 
 Candidates are then confirmed on the full sets, in two rounds: first each set with the partner it shares most regions
 with; then every candidate pair that the confirmed links have not yet put in one component. So no candidate is
-left unjudged, and copies and large groups of near copies cost one comparison each. Deeper keys lose links, so a third
-round returns to the regions of over REGION sets at depth 3: there every pair whose ends are still in different
-components is compared by signature, in pairs of blocks (across.py), and the likely ones are confirmed, without any bound.
+left unjudged, and copies and large groups of near copies cost one comparison each. Deeper keys lose links, and ways
+are made of pairs that may fail on the full sets; so a third round returns to all regions at depth 3: there every pair
+whose ends are still in different components is compared by signature, in pairs of blocks (across.py), and the likely
+ones are confirmed, without any bound. So only confirmed links spare a likely pair its judgement.
 
 A pair at exactly 0.75 is missed by all 21 trees at depth 3 with probability (1 - 0.75**3)**21 = 1e-5.
 
@@ -160,11 +161,11 @@ def _likely(marks: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def unjudged(classes: DataFrame, comp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): every likely pair of a crowded region whose ends confirmed links have not put in one component, without those of pairs."""
+    """(a, b): every likely pair of a region whose ends confirmed links have not put in one component, without those of pairs."""
     slim = classes.select("node", "sig", "mark").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = slim.select("node", "sig", "comp", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     members = _at_depth(rows, DEPTHS[0], "comp")
-    rows = across.unjoined(members, REGION, few)
+    rows = across.unjoined(members, 2, few)  # the one pair of a region of two has been judged
     found = across.met(rows.join(slim.select("node", "mark"), "node"), "mark", _likely)
     return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 

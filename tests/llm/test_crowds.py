@@ -34,3 +34,11 @@ def test_crowded_regions_lose_no_pair(spark, docs, rows, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "REGION", 4)
     monkeypatch.setattr(across, "BLOCK", block)
     assert components_of(rows, docs(pairs)) == truth
+
+
+def test_failed_candidates_hide_no_pair(spark, docs, rows):
+    """One region a tree, under REGION: pairs of higher estimated likeness that fail must not stand for a link."""
+    pairs = crowd(random.Random(13), 200, 60, alike=4)
+    truth = near_truth(pairs)
+    assert sum(i != c for i, (_, c) in truth.items()) == 60
+    assert components_of(rows, docs(pairs)) == truth
