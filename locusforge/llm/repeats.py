@@ -5,7 +5,8 @@ is cut again after words that their own hash picks, so that a shared passage wit
 paragraphs inside. Equal paragraphs are one class at once. Paragraphs of at least 7 words (with fewer, no two different
 shingle sets reach 0.75) get BANDS bands of ROWS minhashes on 5-word shingles: a pair at 0.75 collides with probability
 1 - (1 - 0.75**2)**8 = 0.9987. In each band key the paragraphs meet the least and the greatest paragraph of the key, the
-pair is verified by exact Jaccard on full shingle sets, and verified links are clustered by components.
+pair is verified by exact Jaccard on full shingle sets; then all pairs of the key that verified links leave in different
+components are compared exactly, in pairs of blocks (across.py). Verified links are clustered by components.
 
 A paragraph repeats if its cluster is in two documents or more. Runs of adjacent repeating paragraphs with at least
 RUN words together are repeated passages; a document loses those of their paragraphs whose cluster has a smaller id.
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import across
 from . import textarrays as ta
 from .common import materialize
 from .components import components
-from .near_dedup import confirmed, few
+from .near_dedup import PERCENT, confirmed, few
 
 LONG, PICK = 40, 16
 BANDS, ROWS = 8, 2
@@ -110,16 +112,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(p.hash[wide]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "set"])
 
 
+def _near(sets: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of sets reach the threshold, exactly; shingles of one set alone can't be shared."""
+    size = np.diff(sets.offsets.to_numpy())
+    _, at, held = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = held > 1
+    place, keep = np.cumsum(shared) - 1, shared[at]
+    has = np.zeros((len(sets), int(shared.sum())), np.float32)
+    has[np.repeat(np.arange(len(sets)), size)[keep], place[at[keep]]] = 1
+    both = (has @ has.T)[i, j].astype(np.int64)
+    return np.flatnonzero(100 * both >= PERCENT * (size[i] + size[j] - both))
+
+
 def _links(base: DataFrame) -> DataFrame:
-    """Verified links (u, v) between different paragraphs."""
+    """Verified links (u, v) between different paragraphs: the two stars of each key first, then all pairs these leave apart."""
     rows = base.mapInArrow(_bands, "key long, h long")
     live = few(materialize(rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least < most"), "bands"))
-    met = rows.join(live, "key")
+    met = materialize(rows.join(live, "key").distinct(), "met")
     ends = F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("most").alias("b"))))
     pairs = materialize(met.select(ends.alias("p")).select("p.a", "p.b").filter("a < b").distinct(), "pairs")
     need = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need"))
     sets = base.mapInArrow(_sets, "node long, set array<long>").join(need, "node", "left_semi").dropDuplicates(["node"]).select("node", F.array_distinct("set").alias("set"))
-    return materialize(confirmed(pairs, materialize(sets, "sets")), "links")
+    sets = materialize(sets, "sets")
+    stars = materialize(confirmed(pairs, sets), "links")
+    comp = few(components(stars).withColumnRenamed("node", "h"))
+    members = met.join(comp, "h", "left").select(F.col("key").alias("region"), F.col("h").alias("node"), F.coalesce("comp", "h").alias("comp"))
+    rest = across.unjoined(members, 3, few).join(sets, "node")  # in a key of three, the stars are all pairs
+    return stars.union(materialize(across.met(rest, "set", _near).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from locusforge.llm import across, near_dedup
+from locusforge.llm import across, near_dedup, repeats
 from tests.llm.test_operators import edited, near_truth, prose
 
 
@@ -42,3 +42,15 @@ def test_failed_candidates_hide_no_pair(spark, docs, rows):
     truth = near_truth(pairs)
     assert sum(i != c for i, (_, c) in truth.items()) == 60
     assert components_of(rows, docs(pairs)) == truth
+
+
+@pytest.mark.parametrize("block", [256, 9])
+def test_crowded_band_keys_lose_no_link(spark, docs, monkeypatch, block):
+    """Templated sentences, pairwise under 0.75, with near copies among them: the links' components against brute force."""
+    monkeypatch.setattr(across, "BLOCK", block)
+    r = random.Random(14)
+    pairs = crowd(r, 150, 40, tail=6, head=28, alike=5)
+    truth = near_truth(pairs)
+    assert sum(i != c for i, (_, c) in truth.items()) == 40
+    links = repeats._links(docs(pairs).select("text")).collect()
+    assert len({frozenset((x.u, x.v)) for x in links}) == 40
