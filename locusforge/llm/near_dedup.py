@@ -15,7 +15,8 @@ are made of pairs that may fail on the full sets; so a third round returns to al
 whose ends are still in different components is compared by signature, in pairs of blocks (across.py), and the likely
 ones are confirmed, without any bound. So only confirmed links spare a likely pair its judgement.
 
-A pair at exactly 0.75 is missed by all 21 trees at depth 3 with probability (1 - 0.75**3)**21 = 1e-5.
+A pair at exactly 0.75 is missed by all 21 trees at depth 3 with probability (1 - 0.75**3)**21 = 1e-5, and falls under
+LIKELY, in regions of three sets or more, with probability 1.4e-5: 2.4e-5 at most together.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a null id is linked with
 nothing and kept; rows that share an id are judged by their own text; ties do not arise (ids decide); an empty table
@@ -40,8 +41,8 @@ HASHES, TREE_HASHES, STEP = 128, 64, 3
 TREES = TREE_HASHES // STEP
 DEPTHS = (3, 6, 12, 24, 48, 64)
 REGION = 256
-#: Share of equal minhashes under which a pair at 0.75 falls with probability 0.0005; ways that connect two sets.
-LIKELY, WAYS = 0.625, 4
+#: Share of equal minhashes under which a pair at 0.75 falls with probability 1.4e-5; ways that connect two sets.
+LIKELY, WAYS = 0.58, 4
 #: Tables of ids are broadcast up to this many rows (16 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 1_000_000
 PERCENT = 75

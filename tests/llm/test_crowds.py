@@ -1,7 +1,9 @@
 """Crowds of look-alikes a little under the threshold, with true pairs among them, against brute force."""
 
 import random
+from math import ceil, comb
 
+import numpy as np
 import pytest
 
 from locusforge.llm import across, near_dedup, repeats
@@ -54,3 +56,11 @@ def test_crowded_band_keys_lose_no_link(spark, docs, monkeypatch, block):
     assert sum(i != c for i, (_, c) in truth.items()) == 40
     links = repeats._links(docs(pairs).select("text")).collect()
     assert len({frozenset((x.u, x.v)) for x in links}) == 40
+
+
+def test_signature_filter_seldom_drops_a_pair_at_the_threshold():
+    p, least = 0.75 + 0.25 / 256, ceil(near_dedup.LIKELY * near_dedup.HASHES)
+    assert sum(comb(near_dedup.HASHES, k) * p**k * (1 - p) ** (near_dedup.HASHES - k) for k in range(least)) < 2e-5
+    marks = np.repeat(np.arange(3, dtype=np.uint8), near_dedup.HASHES).reshape(3, -1)
+    marks[1, :76] = marks[0, :76]
+    assert near_dedup.likely_pairs(np.arange(3), marks) == [(0, 1)]
