@@ -92,8 +92,9 @@ def write(spark: SparkSession, args: argparse.Namespace, result) -> list[str]:
     if args.plot:
         os.makedirs(args.plot, exist_ok=True)
         kinds = {r.motif_id: r.n for r in report.motif_counts(result.motifs).collect()}
+        contigs = report.contig_counts(result.motifs, result.loci)
         done.append(plot.bars(f"{args.plot}/01-motif-counts.png", [kinds.get(i, 0) for i in range(1, 21)]))
-        done.append(plot.bars(f"{args.plot}/02-chromosome-nlrs.png", [r.loci for r in report.contig_counts(result.motifs, result.loci).orderBy("contig_id").limit(plot.WIDTH).collect()], (44, 160, 44)))
+        done.append(plot.bars(f"{args.plot}/02-chromosome-nlrs.png", plot.binned((r.loci for r in contigs.orderBy("contig_id").toLocalIterator()), contigs.count()), (44, 160, 44)))
     return done
 
 
