@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where that is unset, a folder of our own, but only on a local master: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="locusforge-")
@@ -32,12 +36,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/locusforge/{name}-{uuid.uuid4().hex}"
 
 
+class _Tables:
+    """What materialize() has written within a scratch() block."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made = [x for x in self.made if x is not df]
+        return df
+
+
+_open: list[_Tables] = []
+
+
+@contextmanager
+def scratch() -> Iterator[_Tables]:
+    """Deletes the tables written within the block at its end, but for those that keep() was given; so nothing that is returned may still read the others."""
+    tables = _Tables()
+    _open.append(tables)
+    try:
+        yield tables
+    finally:
+        _open.remove(tables)
+        for x in tables.made:
+            drop(x)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and every executor can read it."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._locusforge_path = path
+    if _open:
+        _open[-1].made.append(out)
     return out
 
 
@@ -45,9 +78,18 @@ def drop(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_locusforge_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration() if hasattr(df.sparkSession, "_jsc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Tables are broadcast up to this many rows, if a row is some numbers of fixed width: at most 16 MB.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast if a count shows that it is small. df is a written table of fixed-width rows, so the count is cheap and bounds the bytes; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def ascii_lower(c: Column) -> Column:
