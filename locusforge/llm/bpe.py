@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import pieces
-from .memo import Memo
+from .memo import Memo, once
 from .scoring import with_columns
 
 _NEVER = 1 << 60
@@ -48,14 +48,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class WordBPE:
-    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text."""
+    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text; a worker makes it once."""
 
     def __init__(self, source: str):
         self.source = source
         self.memory = Memo(MEMORY)
 
     def __reduce__(self):
-        return WordBPE, (self.source,)
+        return once, (WordBPE, self.source)
 
     @cached_property
     def tables(self) -> WordBPE:
@@ -170,15 +170,17 @@ class WordBPE:
     def batch(self, column: pa.Array):
         """Per text: (ids as text, decoded text, number of ids)."""
         data, offs = pieces.raw(column)
-        odd = pieces.odd_texts(data, offs, LEADS)
         low = data.copy()
         low[(data >= 65) & (data <= 90)] += 32
         accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
         low[accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E)]] += 32
         starts, ends = pieces.split_words(low, offs)
-        words, which = pieces.distinct(low, starts, ends)
+        keys, sample, which = pieces.distinct(low, starts, ends)
+        whole = low.tobytes()
+        words = [whole[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         common = np.zeros(len(words), bool)
         first = np.searchsorted(starts, offs)
+        odd = pieces.odd_texts(data, offs, LEADS) | pieces.long_texts(first, starts, ends)
         good = ~np.repeat(odd, np.diff(first))
         common[which[good]] = True
         found = self.memory.find(words)

@@ -1,7 +1,24 @@
-"""What a Python worker remembers between batches."""
+"""What a Python worker remembers between batches, and between tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+
+_made: dict[tuple, object] = {}
+
+
+def once(kind: Callable[[str], object], source: str) -> object:
+    """kind(source), made once in a worker and kept for the tasks that follow (of a few sources at most)."""
+    key = kind, source
+    if key not in _made:
+        if len(_made) >= 4:
+            _made.clear()
+        _made[key] = kind(source)
+    return _made[key]
+
 
 class Memo(dict):
     """A dict of bounded size in two generations: what is found in the older one moves to the newer."""
@@ -24,3 +41,57 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class Numbers:
+    """Numbers 0, 1, 2 ... for 64-bit keys in order of arrival. A large index and a small one of the latest keys, so that an arrival seldom rebuilds the large one."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.int64)
+        self.large = self.small = pd.Index(self.keys)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key (all different), -1 where there is none."""
+        at = self.large.get_indexer(keys)
+        if len(self.small):
+            rest = np.flatnonzero(at < 0)
+            late = self.small.get_indexer(keys[rest])
+            at[rest[late >= 0]] = late[late >= 0] + len(self.large)
+        return at
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for keys that have none."""
+        n = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 4 * (len(self.keys) - len(self.large)) > len(self.large):
+            self.large, self.small = pd.Index(self.keys), pd.Index(self.keys[:0])
+        else:
+            self.small = pd.Index(self.keys[len(self.large) :])
+        return np.arange(n, len(self.keys))
+
+
+class Flat:
+    """A growing array of arrays, end to end."""
+
+    def __init__(self, kind: str):
+        self.begin, self.size, self.data, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, kind), 0, 0
+
+    def extend(self, data: np.ndarray, size: np.ndarray) -> None:
+        """Adds arrays that lie end to end in data."""
+        n, used = self.n + len(size), self.used + len(data)
+        if n > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
+        if used > len(self.data):
+            self.data = np.resize(self.data, 2 * used)
+        self.size[self.n : n], self.begin[self.n : n] = size, self.used + np.cumsum(size) - size
+        self.data[self.used : used] = data
+        self.n, self.used = n, used
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows `which`, end to end; where each begins, and the end)."""
+        n = self.size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.data[np.repeat(self.begin[which] - total[:-1], n) + np.arange(total[-1])], total

@@ -7,6 +7,7 @@ class. A text with any other character is `odd` and left to the caller.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -21,6 +22,8 @@ _CLASS[65:91] = _CLASS[97:123] = LETTER
 _CLASS[0x80:0xC0] = REST  # bytes that continue a character
 _CLASS[0xC0:] = LETTER
 
+LONG = 512
+
 #: Contractions that the patterns of both tokenizers take before anything else.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -43,9 +46,18 @@ def odd_texts(data: np.ndarray, offs: np.ndarray, leads: tuple[int, ...]) -> np.
         bad[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs for times and divided by
         bad[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
         # a two-byte character has exactly one byte that continues it; U+0080-U+00BF have the lead 0xC2, not allowed
+    return _any(bad, offs)
+
+
+def _any(bad: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(bad, False), offs[:-1]) * (np.diff(offs) > 0) > 0 if len(offs) > 1 else np.zeros(0, bool)
 
 
+def long_texts(first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts hold a piece of over LONG bytes: those are left to the caller too, for equal hashes tell equal pieces only while they are short. first: index of each text's first piece."""
+    return _any(ends - starts > LONG, first)
+
+
 def classes(data: np.ndarray) -> np.ndarray:
     kind = _CLASS[data]
     rest = np.flatnonzero(kind == REST)
@@ -125,10 +137,9 @@ def split_bytes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.append(starts[1:], n)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct pieces, and for each piece which of them it is."""
-    if not len(starts):
-        return [], np.zeros(0, np.int64)
-    _, sample, which = np.unique(ta.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    whole = data.tobytes()
-    return [whole[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)], which
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sample, which): the distinct pieces by hash, a piece of each, and for each piece which of them it is."""
+    which, keys = pd.factorize(ta.word_hashes(data, starts, ends).view(np.int64))
+    sample = np.zeros(len(keys), np.int64)
+    sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return keys, sample, which

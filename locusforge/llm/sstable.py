@@ -21,9 +21,9 @@ share an id follow each other, ordered by the hash of their text; an empty table
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -36,8 +36,8 @@ from pyspark.sql.window import Window
 
 from . import pieces
 from . import textarrays as ta
-from .common import fresh_path, materialize
-from .memo import Memo
+from .common import BROADCAST_ROWS, fresh_path
+from .memo import Flat, Numbers, once
 
 MAGIC = b"LFS1"
 FOOTER = struct.Struct("<QQQQQQI4s")
@@ -46,7 +46,8 @@ INDEX = struct.Struct(">QQI")
 BLOCK_BYTES, SHARD_BLOCKS = 1 << 16, 96
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 END_ID = 0
-MEMORY = 500_000
+#: Pieces remembered by a worker (some 100 bytes each), and pieces given to the library at once.
+MEMORY, TOGETHER = 1_000_000, 1024
 #: Two-byte characters that are all letters, by first byte.
 LEADS = (*range(0xC3, 0xCB), 0xD0, 0xD1)
 
@@ -65,6 +66,11 @@ def _bloom_spots(keys: np.ndarray, bits: int) -> np.ndarray:
     return (h[:, None] + np.arange(BLOOM_HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
 
 
+def bloom_holds(bloom: bytes, bits: int, doc_id: int) -> bool:
+    spots = _bloom_spots(np.array([doc_id], np.int64).view(np.uint64), bits)[0].tolist()
+    return all(bloom[s >> 3] >> (7 - (s & 7)) & 1 for s in map(int, spots))
+
+
 class ShardWriter:
     """Turns (id, ids) in key order into the shard's blocks, each to be ended by a newline."""
 
@@ -140,8 +146,7 @@ class Shard:
             yield from self.block(i)
 
     def may_hold(self, doc_id: int) -> bool:
-        spots = _bloom_spots(np.array([doc_id], np.int64).view(np.uint64), self.bits)[0].tolist()
-        return all(self.data[self.bloom[0] + (s >> 3)] >> (7 - (s & 7)) & 1 for s in map(int, spots))
+        return bloom_holds(self.data[self.bloom[0] : self.bloom[1]], self.bits, doc_id)
 
     def get(self, doc_id: int) -> list[np.ndarray]:
         """The ids of every entry of this key: Bloom filter, then binary search in the index, then one block (more only while the key repeats)."""
@@ -157,13 +162,13 @@ class Shard:
 
 
 class ByteBPE:
-    """The tokenizers library behind a memory of pieces; a text of uncommon characters goes to the library whole. Pickles as the file's text."""
+    """The tokenizers library behind a memory of pieces; a text of uncommon characters or with a very long piece goes to the library whole. Pickles as the file's text; a worker makes it once."""
 
     def __init__(self, source: str):
-        self.source, self.library, self.memory = source, None, Memo(MEMORY)
+        self.source, self.library, self.seen = source, None, None
 
     def __reduce__(self):
-        return ByteBPE, (self.source,)
+        return once, (ByteBPE, self.source)
 
     def _ready(self):
         if self.library is None:
@@ -172,33 +177,59 @@ class ByteBPE:
 
             self.library = Tokenizer.from_str(self.source)
             self.width = 2 if self.library.get_vocab_size(True) <= 1 << 16 else 4
+            self.kind = f"<u{self.width}"
+            vocab = self.library.get_vocab(True)
+            self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a letter of a byte-level token stands for a byte
+            for token, i in vocab.items():
+                self.bytes_of[i] = len(token)
         return self.library
 
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has). The first `spaced` pieces are a space and letters: they end where the next begins, whatever follows, so the library gets them by the thousand as one text, and the lengths of tokens tell them apart again."""
+        size = (ends - starts)[:spaced]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        whole = data[np.repeat(starts[:spaced] - edge[:-1], size) + np.arange(edge[-1])].tobytes()
+        cut = [*range(0, spaced, TOGETHER), spaced]
+        texts = [whole[edge[i] : edge[j]].decode() for i, j in zip(cut, cut[1:], strict=False)] if spaced else []
+        n = len(texts)
+        texts += [data[a:b].tobytes().decode() for a, b in zip(starts[spaced:].tolist(), ends[spaced:].tolist(), strict=True)]
+        made = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(made) if made else np.zeros(0, self.kind)
+        joined = flat[: sum(map(len, made[:n]))]
+        last = np.searchsorted(np.cumsum(self.bytes_of[joined]), edge[1:]) + 1
+        return flat, np.concatenate([np.diff(last, prepend=0), np.array([len(x) for x in made[n:]], np.int64)])
+
+    def _numbers(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The number in memory of each distinct piece; pieces that aren't wanted get any."""
+        if self.seen is None or len(self.seen) > MEMORY:
+            self.seen, self.ids = Numbers(), Flat(self.kind)
+        at = self.seen.find(keys)
+        missing = np.flatnonzero((at < 0) & wanted)
+        if len(missing):
+            a = starts[missing]
+            spaced = (ends[missing] - a > 1) & (data[a] == 0x20) & (pieces.classes(data[np.minimum(a + 1, len(data) - 1)]) == pieces.LETTER)
+            missing = np.concatenate([missing[spaced], missing[~spaced]])
+            self.ids.extend(*self._encode(data, starts[missing], ends[missing], int(spaced.sum())))
+            at[missing] = self.seen.add(keys[missing])
+        return np.maximum(at, 0)
+
     def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
         library = self._ready()
-        kind = f"<u{self.width}"
         data, offs = pieces.raw(column)
-        odd = pieces.odd_texts(data, offs, LEADS)
         starts, ends = pieces.split_bytes(data, offs)
-        words, which = pieces.distinct(data, starts, ends)
         first = np.searchsorted(starts, offs)
-        common = np.zeros(len(words), bool)
-        common[which[~np.repeat(odd, np.diff(first))]] = True
-        found = self.memory.find(words)
-        missing = [i for i, (x, c) in enumerate(zip(found, common.tolist(), strict=True)) if x is None and c]
-        code = "H" if self.width == 2 else "I"
-        for i, e in zip(missing, library.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False), strict=True):
-            found[i] = self.memory.put(words[i], array(code, e.ids).tobytes())
-        found = [x or b"" for x in found]
-        flat = np.frombuffer(b"".join(found), kind)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        begin = np.cumsum(size) - size
-        n = size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])] if len(which) else flat
-        for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            yield np.array(library.encode(column[i].as_py(), add_special_tokens=False).ids, kind) if odd[i] else ids[total[a] : total[b]]
+        odd = pieces.odd_texts(data, offs, LEADS) | pieces.long_texts(first, starts, ends)
+        keys, sample, which = pieces.distinct(data, starts, ends)
+        common = ~np.repeat(odd, np.diff(first))
+        wanted = np.zeros(len(keys), bool)
+        wanted[which[common]] = True
+        # of pieces that common and odd texts share, the sample may lie in an odd one, whose bytes are the same
+        numbers = self._numbers(data, keys, starts[sample], ends[sample], wanted)
+        ids, total = self.ids.take(numbers[which[common]])
+        place = np.concatenate([[0], np.cumsum(common)])[first]
+        for i, (a, b) in enumerate(zip(place[:-1].tolist(), place[1:].tolist(), strict=True)):
+            yield np.array(library.encode(column[i].as_py(), add_special_tokens=False).ids, self.kind) if odd[i] else ids[total[a] : total[b]]
 
 
 def write(docs: DataFrame, tokenizer: ByteBPE, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -227,11 +258,28 @@ def write(docs: DataFrame, tokenizer: ByteBPE, path: str, id_col: str = "doc_id"
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     # a full shard is SHARD_BLOCKS blocks, index, Bloom filter and footer: the writer begins a new file there
-    ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", SHARD_BLOCKS + 3).text(path)
+    ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", SHARD_BLOCKS + 3).text(f"{path}/shards")
+    _directory(docs.sparkSession, path).write.parquet(f"{path}/directory")
+
 
+def _files(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(shard, content) of all shards, or of those named."""
+    where = f"{path}/shards" if names is None else [f"{path}/shards/{n}" for n in names]
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).select(F.regexp_extract("path", "[^/]*$", 0).alias("shard"), "content")
+
+
+def _directory(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, part, file, lo, hi, documents, tokens, bits, bloom): one row a shard, made from its footer, index and Bloom filter. part and file number the shards in key order."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                s = Shard(content.as_buffer().to_pybytes())
+                part, file = (int(x) for x in re.match(r"part-(\d+)-.*?-c(\d+)", name).groups())
+                lo, hi = next(s.block(0))[0], id_of(struct.pack(">Q", s.index[-1][0]))
+                yield pa.record_batch([[name], [part], [file], [lo], [hi], [s.documents], [s.tokens], [s.bits], pa.array([bytes(s.data[slice(*s.bloom)])], pa.binary())], ["shard", "part", "file", "lo", "hi", "documents", "tokens", "bits", "bloom"])
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("shard"), "content")
+    return _files(spark, path).mapInArrow(footers, "shard string, part long, file long, lo long, hi long, documents long, tokens long, bits long, bloom binary")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -253,7 +301,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of some documents: each shard answers from its Bloom filter, index and one block."""
+    """(doc_id, ids) of some documents. The directory tells the shards whose key range and Bloom filter admit an id; only those files are read (shards of at most SHARD_BLOCKS blocks), and in them the index and one block."""
+
+    def admits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "lo", "hi", "bits", "bloom")), strict=True)
+            yield pa.record_batch([pa.array([n for n, lo, hi, bits, bloom in rows if any(lo <= d <= hi and bloom_holds(bloom, bits, d) for d in doc_ids)], pa.string())], ["shard"])
+
+    if not doc_ids:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    near = spark.read.parquet(f"{path}/directory").filter(F.col("hi") >= min(doc_ids)).filter(F.col("lo") <= max(doc_ids))
+    names = [r.shard for r in near.mapInArrow(admits, "shard string").collect()]  # about one an id
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +320,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 got = [(d, v) for d in doc_ids for v in shard.get(d)]
                 yield pa.record_batch([pa.array([d for d, _ in got], pa.int64()), pa.array([v.astype(np.int64) for _, v in got], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(find, "doc_id long, ids array<long>")
+    return _files(spark, path, names).mapInArrow(find, "doc_id long, ids array<long>") if names else spark.createDataFrame([], "doc_id long, ids array<long>")
 
 
 def load(path: str) -> ByteBPE:
@@ -270,11 +328,23 @@ def load(path: str) -> ByteBPE:
         return ByteBPE(f.read())
 
 
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, before): ids in all shards before each. Sums within a part first, so that what is summed in one task has a row a part."""
+    shards = spark.read.parquet(f"{path}/directory").select("shard", "part", "file", "tokens")
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("n")).withColumn("ahead", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
+    within = shards.withColumn("own", F.sum("tokens").over(Window.partitionBy("part").orderBy("file")) - F.col("tokens"))
+    return within.join(parts, "part").select("shard", (F.col("ahead") + F.col("own")).alias("before"))
+
+
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The rows as the files give them; the files stay in the shared folder, for they are the result."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "shards")
+    path = fresh_path(spark, "sstable")
     write(docs, load(tokenizer_path), path)
-    rows = materialize(read(spark, path), "entries")
-    # one row a shard: a few per thousand documents
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).select("shard", "before")
-    return rows.join(shards, "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = read(spark, path).join(F.broadcast(starts(spark, path)) if _small(spark, path) else starts(spark, path), "shard")
+    return rows.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _small(spark: SparkSession, path: str) -> bool:
+    """Whether the shards' starts may be broadcast: a name and a number each."""
+    return spark.read.parquet(f"{path}/directory").count() <= BROADCAST_ROWS // 4
