@@ -41,9 +41,11 @@ class _Tables:
 
     def __init__(self):
         self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made = [x for x in self.made if x is not df]
+        self.kept.append(df)
         return df
 
 
@@ -61,11 +63,13 @@ def scratch() -> Iterator[_Tables]:
         _open.remove(tables)
         for x in tables.made:
             drop(x)
+        if _open:  # what is kept here is the surrounding block's to delete
+            _open[-1].made += tables.kept
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and every executor can read it."""
-    path = fresh_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name)  # a fresh name, so a rerun never reads what a lost run left
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._locusforge_path = path

@@ -11,16 +11,19 @@ two in WAYS separate ways (so each set keeps its WAYS likeliest partners; a firs
 Candidates are then confirmed on the full sets, in two rounds: first each set with the partner it shares most regions
 with; then every candidate pair that the confirmed links have not yet put in one component. So no candidate is
 left unjudged, and copies and large groups of near copies cost one comparison each. Deeper keys lose links, and ways
-are made of pairs that may fail on the full sets; so a third round returns to all regions at depth 3: there every pair
-whose ends are still in different components is compared by signature, in pairs of blocks (across.py), and the likely
-ones are confirmed, without any bound. So only confirmed links spare a likely pair its judgement.
+are made of pairs that may fail on the full sets; so a third round returns to all regions at depth 3: there the full
+sets of all members meet in pairs of blocks (across.py), and every pair whose ends are still in different components
+is compared by signature and, if likely, on the full sets, in the first tree whose region the two share. So only
+confirmed links spare a likely pair its judgement. The work is quadratic in a crowd that stays a little under the
+threshold; what is shuffled and what comes out is not: no pair leaves its block unless it is a link.
 
 A pair at exactly 0.75 is missed by all 21 trees at depth 3 with probability (1 - 0.75**3)**21 = 1e-5, and falls under
 LIKELY, in regions of three sets or more, with probability 1.4e-5: 2.4e-5 at most together.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a null id is linked with
-nothing and kept; rows that share an id are judged by their own text; ties do not arise (ids decide); an empty table
-gives an empty result; other columns pass through drop_near_duplicates().
+nothing and kept; rows that share an id are judged by their own text, so that drop_near_duplicates() drops the one and
+keeps the other if only one has a copy with a smaller id; equal rows stay or go together; ties do not arise (ids
+decide); an empty table gives an empty result; other columns pass through drop_near_duplicates().
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import across
 from . import textarrays as ta
-from .common import materialize
+from .common import few, materialize, scratch
 from .components import components
 
 HASHES, TREE_HASHES, STEP = 128, 64, 3
@@ -43,8 +46,6 @@ DEPTHS = (3, 6, 12, 24, 48, 64)
 REGION = 256
 #: Share of equal minhashes under which a pair at 0.75 falls with probability 1.4e-5; ways that connect two sets.
 LIKELY, WAYS = 0.58, 4
-#: Tables of ids are broadcast up to this many rows (16 bytes each); beyond, a shuffle join.
-BROADCAST_IDS = 1_000_000
 PERCENT = 75
 
 
@@ -66,7 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(ta.minhash(s, family) if len(s) else None)
             trees = [None if x is None else x[:TREE_HASHES] for x in sigs]
             marks = [None if x is None else (x & 255).astype(np.uint8).tobytes() for x in sigs]
-            yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(trees, pa.list_(pa.int32())), pa.array(marks, pa.binary())], ["id", "n", "c1", "c2", "sig", "mark"])
+            yield pa.record_batch([part.column("id"), part.column("th"), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(trees, pa.list_(pa.int32())), pa.array(marks, pa.binary())], ["id", "th", "n", "c1", "c2", "sig", "mark"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +78,6 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "set"])
 
 
-def few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small. df is a written table, so the count is cheap."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _at_depth(rows: DataFrame, depth: int, kept: str = "mark") -> DataFrame:
     """rows(node, tree, sig, and the column to keep): the region at this depth."""
     return rows.select("node", "tree", kept, F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {depth}))").alias("region"))
@@ -94,21 +90,11 @@ def likely_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
     like = np.concatenate([(marks[i[k : k + 8192]] == marks[j[k : k + 8192]]).mean(axis=1) for k in range(0, len(i), 8192)])
     keep = np.flatnonzero(like >= LIKELY)
     keep = keep[np.argsort(-like[keep], kind="stable")]
-    forests = [list(range(n)) for _ in range(WAYS)]  # edge-disjoint: a link that fails doesn't part what it joined
-
-    def root(forest: list[int], x: int) -> int:
-        while forest[x] != x:
-            forest[x] = x = forest[forest[x]]
-        return x
-
+    forests = [across.Forest(n) for _ in range(WAYS)]  # edge-disjoint: a link that fails doesn't part what it joined
     out = []
     for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-        for forest in forests:
-            a, b = root(forest, x), root(forest, y)
-            if a != b:
-                forest[a] = b
-                out.append((int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y]))))
-                break
+        if any(forest.join(x, y) for forest in forests):  # the first that it joins takes it
+            out.append((int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y]))))
     return out
 
 
@@ -156,31 +142,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(f"100 * both >= {PERCENT} * (size(sa) + size(sb) - both)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _likely(marks: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    m = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1)
-    return np.concatenate([np.flatnonzero((m[i[k : k + 8192]] == m[j[k : k + 8192]]).mean(axis=1) >= LIKELY) + k for k in range(0, len(i), 8192)])
+def _linked(load: pa.Array, i: np.ndarray, j: np.ndarray, forest: across.Forest) -> Iterator[tuple[int, int]]:
+    """Of the pairs the linked ones, likeliest first; pairs that links already join, or that share the region of an earlier tree, are passed over."""
+    tree = load.field("tree")[0].as_py()
+    marks = np.frombuffer(b"".join(load.field("mark").to_pylist()), np.uint8).reshape(len(load), -1)
+    keys = load.field("sig").flatten().to_numpy()[: len(load) * TREE_HASHES].reshape(len(load), -1)[:, : STEP * tree]
+    at, like = [], []
+    for k in range(0, len(i), 8192):
+        a, b = i[k : k + 8192], j[k : k + 8192]
+        x = (marks[a] == marks[b]).mean(axis=1)
+        on = np.flatnonzero(x >= LIKELY)
+        on = on[~(keys[a[on]] == keys[b[on]]).reshape(len(on), tree, STEP).all(axis=2).any(axis=1)] if tree else on
+        at.append(on + k)
+        like.append(x[on])
+    at, like = np.concatenate(at), np.concatenate(like)
+    at = at[np.argsort(-like, kind="stable")]
+    sets = load.field("set")
+    edge = sets.offsets.to_numpy()
+    flat = sets.values.to_numpy()
+    size = np.diff(edge)
+    for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True):
+        n, m = size[x], size[y]
+        if 100 * min(n, m) < PERCENT * max(n, m) or forest.root(x) == forest.root(y):
+            continue
+        both = np.concatenate([flat[edge[x] : edge[x + 1]], flat[edge[y] : edge[y + 1]]])
+        both.sort()
+        shared = int((both[1:] == both[:-1]).sum())
+        if 100 * shared >= PERCENT * (n + m - shared):
+            yield x, y
+
+
+def unjudged(classes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between sets that share a region and that confirmed links have not put in one component."""
+    slim = classes.select("node", "n", "sig", "mark").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = slim.select("node", "n", "sig", "comp", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    members = rows.select("node", "comp", F.col("n").alias("weight"), F.struct("tree", F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {DEPTHS[0]}))").alias("key")).alias("region"))
+    rows = across.unjoined(members, 2)  # the one pair of a region of two has been judged
+    # a set that is no candidate of any region has no likely partner and needs no set here
+    load = F.struct(F.col("region.tree").alias("tree"), "sig", "mark", "set").alias("load")
+    found = across.met(rows.join(slim.select("node", "sig", "mark"), "node").join(sets, "node").select("region", "node", "comp", "lo", "hi", "one", load), "load", _linked)
+    return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def unjudged(classes: DataFrame, comp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): every likely pair of a region whose ends confirmed links have not put in one component, without those of pairs."""
-    slim = classes.select("node", "sig", "mark").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = slim.select("node", "sig", "comp", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    members = _at_depth(rows, DEPTHS[0], "comp")
-    rows = across.unjoined(members, 2, few)  # the one pair of a region of two has been judged
-    found = across.met(rows.join(slim.select("node", "mark"), "node"), "mark", _likely)
-    return found.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, th (hash of its text), n_shingles, component_id (least id of its component; its own id if linked with nothing)."""
+    with scratch() as tables:
+        return tables.keep(materialize(_components(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))), "near"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id (least id of its component; its own id if linked with nothing)."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(base.mapInArrow(_sign, "id long, n long, c1 long, c2 long, sig array<int>, mark binary"), "signed")
+def _components(base: DataFrame) -> DataFrame:
+    rows = materialize(base.mapInArrow(_sign, "id long, th long, n long, c1 long, c2 long, sig array<int>, mark binary"), "signed")
     owned = rows.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(owned.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("mark").alias("mark")).withColumnRenamed("c1", "node"), "classes")
     pairs = materialize(candidates(classes), "pairs")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node")
     need = few(materialize(need.select(F.col("rep").alias("id"), F.col("node").alias("want")), "need"))
-    sets = base.join(need.select("id").distinct(), "id").mapInArrow(_expand, "node long, set array<bigint>")
+    sets = base.select("id", "text").join(need.select("id").distinct(), "id").mapInArrow(_expand, "node long, set array<bigint>")
     sets = materialize(sets.join(need.select(F.col("want").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
     # first each set with its closest partner
     closest = pairs.groupBy(F.col("b")).agg(F.max(F.struct("w", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
@@ -191,13 +208,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = materialize(confirmed(rest, sets), "links")
     if not second.isEmpty():
         comp = components(first.union(second))
-    third = materialize(confirmed(unjudged(classes, comp, pairs), sets), "links")
+    third = materialize(unjudged(classes, comp, sets), "links")
     if not third.isEmpty():
         comp = components(first.union(second).union(third))
     least = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("c1"), "component_id")
-    out = rows.select("id", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("c1")).alias("c1")).join(least, "c1", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.select("id", "th", "n", F.when(F.expr("n > 0 AND id IS NOT NULL"), F.col("c1")).alias("c1")).join(least, "c1", "left")
+    return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -207,5 +224,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id."""
-    gone = materialize(near_components(docs, id_col, text_col).filter("id <> component_id").select(F.col("id").alias("__id")).distinct(), "gone")
-    return docs.join(few(gone), F.col(id_col) == F.col("__id"), "left_anti")
+    with scratch() as tables:
+        found = near_components(docs, id_col, text_col)
+        gone = few(tables.keep(materialize(found.filter("id <> component_id").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")))
+    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")

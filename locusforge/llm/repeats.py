@@ -1,18 +1,25 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph here is a line cut at sentence ends, for passages are often glued into lines; a sentence of over LONG words
-is cut again after words that their own hash picks, so that a shared passage without sentence ends still has equal
-paragraphs inside. Equal paragraphs are one class at once. Paragraphs of at least 7 words (with fewer, no two different
-shingle sets reach 0.75) get BANDS bands of ROWS minhashes on 5-word shingles: a pair at 0.75 collides with probability
-1 - (1 - 0.75**2)**8 = 0.9987. In each band key the paragraphs meet the least and the greatest paragraph of the key, the
-pair is verified by exact Jaccard on full shingle sets; then all pairs of the key that verified links leave in different
-components are compared exactly, in pairs of blocks (across.py). Verified links are clustered by components.
+A paragraph here is a sentence: a line cut at sentence ends, for passages are often glued into lines; a sentence of over
+LONG words is cut again after words that their own hash picks. Runs of one word count as one word. Paragraphs of at
+least 7 words (with fewer, no two different shingle sets reach 0.75) get BANDS bands of ROWS minhashes on 5-word
+shingles: a pair at 0.75 collides with probability 1 - (1 - 0.75**2)**8 = 0.9987. In each band key the paragraphs meet
+the least and the greatest paragraph of the key, the pair is verified by exact Jaccard on full shingle sets; then all
+pairs of the key that verified links leave in different components are compared exactly, in pairs of blocks (across.py).
+Verified links are clustered by components.
 
-A paragraph repeats if its cluster is in two documents or more. Runs of adjacent repeating paragraphs with at least
-RUN words together are repeated passages; a document loses those of their paragraphs whose cluster has a smaller id.
+Equal paragraphs are one class at once, however their hosts are punctuated: a text is also cut into exact pieces, by its
+words alone. In every window of PICK words the word of least hash ends a piece, so a shared span of PASSAGE words holds
+equal pieces of 20 words or more, whatever stands around it.
+
+A piece repeats if two documents hold it, a paragraph if its cluster is in two documents or more. Adjoining repeats are
+a run. A run of at least RUN words is a candidate: it is extended by PICK words at both ends, and every window of PASSAGE
+words that another document's candidate holds word by word is a passage, to the word. A run that holds a paragraph with
+near copies and repeats in PASSAGE words or more is one too. A document loses the passages that a smaller id holds too.
 
 Defined cases: null, empty and blank texts have no paragraphs; a null id takes no part; repeats within one document
-stay; rows that share an id are one document; an empty table gives an empty result.
+stay; rows that share an id are one document for what repeats, and are each cut by their own text; an empty table gives
+an empty result; other columns pass through remove_repeats().
 """
 
 from __future__ import annotations
@@ -23,70 +30,104 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import across
 from . import textarrays as ta
-from .common import materialize
+from .common import few, materialize, scratch
 from .components import components
-from .near_dedup import PERCENT, confirmed, few
+from .near_dedup import PERCENT, confirmed
 
 LONG, PICK = 40, 16
 BANDS, ROWS = 8, 2
-LEAST_WORDS, RUN = 7, 25
+LEAST_WORDS, RUN, PASSAGE = 7, 20, 50
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x2E, 0x21, 0x3F]] = True  # . ! ?
 
 
-class Paragraphs:
-    """The paragraphs of a batch of texts: text, position in it, first and last word, hash."""
+class Parts:
+    """Stretches of words that cover the texts of a batch: first word, words, text, first word's place in the text, hash."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray):
+        n = len(words)
+        self.first = np.flatnonzero(np.append(True, stop[:-1])) if n else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.first, n))
+        self.text = np.searchsorted(first, self.first, side="right") - 1
+        self.at = self.first - first[self.text]
+        self.hash = spans_hash(words, self.first, self.size)
+
+
+def spans_hash(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    up, down = ta._powers_to(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return ta.mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
+
+
+class Texts:
+    """The words of a batch of texts, runs of one word as one word; `first`: each text's first word."""
 
     def __init__(self, part: pa.RecordBatch):
-        data, offs = ta.texts(part.column("text"))
-        self.starts, self.ends, first = ta.spans(data, offs)
-        self.words = w = ta.word_hashes(data, self.starts, self.ends)
-        n = len(w)
-        stop = _ENDS[data[self.ends - 1]] if n else np.zeros(0, bool)
-        lines = np.cumsum(data == 10)
+        self.data, self.offs = ta.texts(part.column("text"))
+        self.starts, self.ends, self.first = ta.spans(self.data, self.offs)
+        words = ta.word_hashes(self.data, self.starts, self.ends)
+        keep = np.append(True, words[1:] != words[:-1])[: len(words)]
+        keep[self.first[:-1][self.first[:-1] < len(words)]] = True
+        self.words, self.starts, self.ends = words[keep], self.starts[keep], self.ends[keep]
+        self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
+
+    def _stops(self) -> np.ndarray:
+        stop = np.zeros(len(self.words), bool)
+        stop[self.first[1:][self.first[1:] > 0] - 1] = True
+        return stop
+
+    def paragraphs(self) -> Parts:
+        stop, n = self._stops(), len(self.words)
         if n:
+            stop |= _ENDS[self.data[self.ends - 1]]
+            lines = np.cumsum(self.data == 10)
             stop[:-1] |= lines[self.starts[1:]] != lines[self.ends[:-1] - 1]
-        stop[first[1:][first[1:] > 0] - 1] = True
-        if n:
             begin = np.flatnonzero(np.append(True, stop[:-1]))
             size = np.diff(np.append(begin, n))
-            stop |= (np.repeat(size, size) > LONG) & (w % np.uint64(PICK) == 0)
-        self.first = np.flatnonzero(np.append(True, stop[:-1])) if n else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.first, n))
-        self.text = np.searchsorted(first, self.first, side="right") - 1
-        self.at = np.arange(len(self.first)) - np.searchsorted(self.text, self.text)
-        up, down = ta._powers_to(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(w * up[:n], out=total[1:])
-        self.hash = ta.mix((total[self.first + self.size] - total[self.first]) * down[self.first] + self.size.astype(np.uint64)).view(np.int64)
+            stop |= (np.repeat(size, size) > LONG) & (self.words % np.uint64(PICK) == 0)
+        return Parts(self.words, self.first, stop)
+
+    def pieces(self) -> Parts:
+        stop = self._stops()
+        if len(self.words) >= PICK:
+            order = ta.mix(self.words ^ np.uint64(ta._BASE))
+            least = np.lib.stride_tricks.sliding_window_view(order, PICK).argmin(axis=1) + np.arange(len(order) - PICK + 1)
+            text = np.searchsorted(self.first, np.arange(len(order)), side="right")
+            whole = text[: len(least)] == text[PICK - 1 :]
+            stop[least[whole]] = True
+        return Parts(self.words, self.first, stop)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, p: Parts) -> tuple[np.ndarray, np.ndarray]:
         """(shingle hash at each word, the paragraphs long enough to have near copies)."""
         weights = ta._weights(5)
         g = np.zeros(max(0, len(self.words) - 4), np.uint64)
         for j in range(5):
             g += self.words[j : j + len(g)] * weights[j]
-        return ta.mix(g), np.flatnonzero(self.size >= LEAST_WORDS)
+        return ta.mix(g), np.flatnonzero(p.size >= LEAST_WORDS)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            p = Paragraphs(part)
-            yield pa.record_batch([part.column("id").take(pa.array(p.text)), pa.array(p.at, pa.int32()), pa.array(p.size, pa.int32()), pa.array(p.hash)], ["id", "at", "n", "h"])
+            p = Texts(part).pieces()
+            text = pa.array(p.text)
+            yield pa.record_batch([part.column("id").take(text), part.column("th").take(text), pa.array(p.at, pa.int32()), pa.array(p.size, pa.int32()), pa.array(p.hash)], ["id", "th", "at", "n", "h"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = ta.hash_family(BANDS * ROWS, 1)
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            p = Paragraphs(part)
-            g, wide = p.grams()
+            t = Texts(part)
+            p = t.paragraphs()
+            g, wide = t.grams(p)
             if not len(wide):
                 continue
             cuts = np.stack([p.first[wide], p.first[wide] + p.size[wide] - 4], 1).ravel()
@@ -103,97 +144,143 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            p = Paragraphs(part)
-            g, wide = p.grams()
+            t = Texts(part)
+            p = t.paragraphs()
+            g, wide = t.grams(p)
             g = g.view(np.int64)
             size = p.size[wide] - 4
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             flat = g[np.repeat(p.first[wide] - offsets[:-1], size) + np.arange(offsets[-1])] if len(wide) else g[:0]
-            yield pa.record_batch([pa.array(p.hash[wide]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "set"])
+            text = pa.array(p.text[wide])
+            yield pa.record_batch([part.column("id").take(text), part.column("th").take(text), pa.array(p.at[wide], pa.int32()), pa.array(p.size[wide], pa.int32()), pa.array(p.hash[wide]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "th", "at", "n", "node", "set"])
 
 
-def _near(sets: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of sets reach the threshold, exactly; shingles of one set alone can't be shared."""
+def _near(sets: pa.Array, i: np.ndarray, j: np.ndarray, forest: across.Forest) -> Iterator[tuple[int, int]]:
+    """The pairs of sets that reach the threshold, exactly; shingles of one set alone can't be shared."""
     size = np.diff(sets.offsets.to_numpy())
     _, at, held = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
     shared = held > 1
     place, keep = np.cumsum(shared) - 1, shared[at]
-    has = np.zeros((len(sets), int(shared.sum())), np.float32)
-    has[np.repeat(np.arange(len(sets)), size)[keep], place[at[keep]]] = 1
-    both = (has @ has.T)[i, j].astype(np.int64)
-    return np.flatnonzero(100 * both >= PERCENT * (size[i] + size[j] - both))
+    owner, column = np.repeat(np.arange(len(sets)), size)[keep], place[at[keep]]
+    both = np.zeros(len(i), np.int64)
+    for begin in range(0, int(shared.sum()), 8192):  # so many shingles at a time: a bounded matrix
+        on = (column >= begin) & (column < begin + 8192)
+        has = np.zeros((len(sets), min(8192, int(shared.sum()) - begin)), np.float32)
+        has[owner[on], column[on] - begin] = 1
+        both += (has @ has.T)[i, j].astype(np.int64)
+    for k in np.flatnonzero(100 * both >= PERCENT * (size[i] + size[j] - both)).tolist():
+        yield int(i[k]), int(j[k])
 
 
-def _links(base: DataFrame) -> DataFrame:
-    """Verified links (u, v) between different paragraphs: the two stars of each key first, then all pairs these leave apart."""
-    rows = base.mapInArrow(_bands, "key long, h long")
+def _links(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verified links (u, v) between different paragraphs, (id, th, at, n, node) of every paragraph that met another): the two stars of each key first, then all pairs these leave apart."""
+    rows = base.select("text").mapInArrow(_bands, "key long, h long")
     live = few(materialize(rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least < most"), "bands"))
     met = materialize(rows.join(live, "key").distinct(), "met")
     ends = F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("most").alias("b"))))
     pairs = materialize(met.select(ends.alias("p")).select("p.a", "p.b").filter("a < b").distinct(), "pairs")
     need = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need"))
-    sets = base.mapInArrow(_sets, "node long, set array<long>").join(need, "node", "left_semi").dropDuplicates(["node"]).select("node", F.array_distinct("set").alias("set"))
-    sets = materialize(sets, "sets")
+    held = materialize(base.mapInArrow(_sets, "id long, th long, at int, n int, node long, set array<long>").join(need, "node", "left_semi"), "held")
+    sets = materialize(held.select("node", "set").dropDuplicates(["node"]).select("node", F.array_distinct("set").alias("set")), "sets")
     stars = materialize(confirmed(pairs, sets), "links")
     comp = few(components(stars).withColumnRenamed("node", "h"))
-    members = met.join(comp, "h", "left").select(F.col("key").alias("region"), F.col("h").alias("node"), F.coalesce("comp", "h").alias("comp"))
-    rest = across.unjoined(members, 3, few).join(sets, "node")  # in a key of three, the stars are all pairs
-    return stars.union(materialize(across.met(rest, "set", _near).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
+    members = met.join(comp, "h", "left").select(F.col("key").alias("region"), F.col("h").alias("node"), F.coalesce("comp", "h").alias("comp"), F.lit(LONG).alias("weight"))
+    rest = across.unjoined(members, 3).join(sets, "node")  # in a key of three, the stars are all pairs
+    return stars.union(materialize(across.met(rest, "set", _near).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")), held.drop("set")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all windows of PASSAGE words in each candidate run and PICK words around it."""
+    for batch in batches:
+        for part in ta.chunks(batch, "text"):
+            t = Texts(part)
+            runs, begin, end = part.column("runs"), [], []
+            for i, own in enumerate(runs.to_pylist()):
+                for r in own:
+                    begin.append((i, max(t.first[i], t.first[i] + r["a"] - PICK), min(t.first[i + 1], t.first[i] + r["b"] + PICK)))
+            begin = np.array(begin, np.int64).reshape(-1, 3)
+            size = np.maximum(begin[:, 2] - begin[:, 1] - PASSAGE + 1, 0)
+            total = np.concatenate([[0], np.cumsum(size)])
+            places = np.repeat(begin[:, 1] - total[:-1], size) + np.arange(total[-1])
+            which = np.repeat(begin[:, 0], size)
+            text = pa.array(which)
+            yield pa.record_batch([part.column("id").take(text), part.column("th").take(text), pa.array(places - t.first[which], pa.int32()), pa.array(spans_hash(t.words, places, np.full(len(places), PASSAGE)))], ["id", "th", "at", "g"])
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, n, keeper, removed): the paragraphs of repeated passages; keeper: least document of the cluster."""
-    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = materialize(base.mapInArrow(_units, "id long, at int, n int, h long"), "units")
-    held = units.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    links = _links(base.select("text"))
-    if links.isEmpty():
-        repeating = held.filter("lo < hi").select("h", F.col("lo").alias("keeper"))
-    else:
-        comp = materialize(components(links).withColumnRenamed("node", "h").join(held, "h"), "clusters")
-        clusters = comp.groupBy("comp").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).filter("keeper < last")
-        joined = comp.join(clusters, "comp").select("h", "keeper")
-        repeating = held.filter("lo < hi").select("h", F.col("lo").alias("keeper")).union(joined).groupBy("h").agg(F.min("keeper").alias("keeper"))
-    rows = units.join(few(materialize(repeating, "repeating")), "h").select("id", "at", "n", "keeper").dropDuplicates(["id", "at"])
-    run = F.col("at") - F.row_number().over(Window.partitionBy("id").orderBy("at"))
-    passages = rows.withColumn("run", run).withColumn("long", F.sum("n").over(Window.partitionBy("id", "run"))).filter(F.col("long") >= RUN)
-    return passages.select("id", "at", "n", "keeper", (F.col("id") > F.col("keeper")).alias("removed"))
+    """(id, th, at, n, keeper, removed): repeated passages, n words from word `at` on; th: hash of the text; keeper: least document that holds it."""
+    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    with scratch() as tables:
+        return tables.keep(materialize(_repeats(base), "repeats"))
+
+
+def _repeats(base: DataFrame) -> DataFrame:
+    units = materialize(base.mapInArrow(_units, "id long, th long, at int, n int, h long"), "units")
+    equal = few(materialize(units.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "repeating"))
+    rows = units.join(equal, "h").select("id", "th", "at", "n", "keeper", F.lit(0).alias("near"))
+    links, held = _links(base)
+    if not links.isEmpty():
+        found = held.join(few(components(links)), "node")
+        clusters = found.groupBy("comp").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last")
+        rows = rows.union(found.join(few(materialize(clusters, "clusters")), "comp").select("id", "th", "at", "n", "keeper", F.lit(1).alias("near")))
+    along = Window.partitionBy("id", "th").orderBy("at", "n", "near", "keeper")
+    rows = rows.groupBy("id", "th", "at", "n", "near").agg(F.min("keeper").alias("keeper"))  # equal rows are one
+    reached = F.max(F.col("at") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("run").over(along))
+    rows = materialize(rows, "runs")
+    runs = rows.groupBy("id", "th", "run").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b"), F.max("near").alias("near")).filter(f"b - a >= {RUN}")
+    runs = materialize(runs, "candidates")
+    own = runs.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    ids = few(materialize(runs.select("id").distinct(), "ids"))
+    texts = base.join(ids, "id", "left_semi").dropDuplicates(["id", "th"])
+    windows = texts.join(own, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "text", "runs").mapInArrow(_windows, "id long, th long, at int, g long")
+    windows = materialize(windows, "windows")
+    shared = few(materialize(windows.groupBy("g").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "shared"))
+    hits = windows.join(shared, "g").select("id", "th", "at", "keeper").distinct()
+    exact = hits.withColumn("k", F.col("at") - F.row_number().over(Window.partitionBy("id", "th", "keeper").orderBy("at"))).groupBy("id", "th", "keeper", "k").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + PASSAGE).alias("n"))
+    close = runs.filter(f"near = 1 AND b - a >= {PASSAGE}").select("id", "th", "run")
+    found = rows.join(few(materialize(close, "passages")), ["id", "th", "run"], "left_semi").select("id", "th", "at", "n", "keeper").union(exact.select("id", "th", "at", "n", "keeper"))
+    return found.select("id", "th", "at", "n", "keeper", (F.col("id") > F.col("keeper")).alias("removed"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in ta.chunks(batch, "text"):
-            p = Paragraphs(part)
-            out = []
-            edges = np.searchsorted(p.text, np.arange(len(part) + 1))
-            _, offs = ta.texts(part.column("text"))
-            for i, (text, gone) in enumerate(zip(part.column("text").to_pylist(), part.column("__gone").to_pylist(), strict=True)):
+            t = Texts(part)
+            out = part.column("text").to_pylist()
+            for i, gone in enumerate(part.column("gone").to_pylist()):
                 if gone:
-                    raw, kept = text.encode(), []
-                    for k in range(edges[i], edges[i + 1]):
-                        if k - edges[i] not in set(gone):
-                            a = p.starts[p.first[k]] - offs[i] if k > edges[i] else 0
-                            b = p.starts[p.first[k + 1]] - offs[i] if k + 1 < edges[i + 1] else len(raw)
-                            kept.append(raw[a:b])
-                    text = b"".join(kept).decode()
-                out.append(text)
-            at = part.schema.get_field_index("text")
-            yield part.set_column(at, "text", pa.array(out, pa.string())).drop_columns(["__gone"])
+                    # word k's stretch of bytes ends where word k + 1 begins
+                    edge = np.append(t.starts[t.first[i] : t.first[i + 1]] - t.offs[i], t.offs[i + 1] - t.offs[i])
+                    edge[0] = 0
+                    drop = np.zeros(len(edge) - 1, bool)
+                    for r in gone:
+                        drop[r["at"] : r["at"] + r["n"]] = True
+                    raw = out[i].encode()
+                    out[i] = b"".join([raw[a:b] for a, b, d in zip(edge.tolist(), edge[1:].tolist(), drop.tolist(), strict=False) if not d]).decode()
+            yield pa.record_batch([part.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) without the paragraphs that repeat an earlier document's passage."""
-    gone = repeated_paragraphs(docs).filter("removed").groupBy(F.col("id").alias("__id")).agg(F.collect_set("at").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id").mapInArrow(_cut, docs.schema)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the repeats of an earlier document's passage. Only texts that lose something go through Python."""
+    gone = repeated_paragraphs(docs, id_col, text_col).filter("removed").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("at", "n")).alias("__gone"))
+    names = docs.columns
+    joined = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left").drop("__id", "__th")
+    cut = joined.filter("__gone IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"), F.col("__gone").alias("gone"))
+    cut = cut.mapInArrow(_cut, T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())]))
+    cut = cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
+    return joined.filter("__gone IS NULL").select(*[F.col(f"`{c}`") for c in names]).union(cut)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: how much repeats, the documents it repeats, and the least document that shared passages lead to."""
-    passages = materialize(repeated_paragraphs(docs), "passages")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    per = passages.groupBy("id").agg(F.count(F.lit(1)).alias("n_repeated"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum(F.when(F.col("removed"), F.col("n")).otherwise(0)).alias("words_removed"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("keeper")))).alias("repeats_of"))
-    comp = components(passages.select(F.col("keeper").alias("u"), F.col("id").alias("v")).distinct())
-    least = comp.groupBy("comp").agg(F.min("node").alias("component_id"))
-    per = per.join(comp.join(least, "comp").select(F.col("node").alias("id"), "component_id"), "id", "left")
-    out = docs.select("doc_id").join(per, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", count("n_repeated"), count("n_removed"), count("words_removed"), F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("n_removed", F.lit(0)) == 0).alias("kept"))
+    with scratch() as tables:
+        passages = repeated_paragraphs(docs)
+        count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+        per = passages.groupBy("id").agg(F.count(F.lit(1)).alias("n_repeated"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum(F.when(F.col("removed"), F.col("n")).otherwise(0)).alias("words_removed"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("keeper")))).alias("repeats_of"))
+        comp = components(passages.select(F.col("keeper").alias("u"), F.col("id").alias("v")).distinct())
+        least = comp.groupBy("comp").agg(F.min("node").alias("component_id"))
+        per = per.join(comp.join(least, "comp").select(F.col("node").alias("id"), "component_id"), "id", "left")
+        out = docs.select("doc_id").join(per, F.col("doc_id") == F.col("id"), "left")
+        out = out.select("doc_id", count("n_repeated"), count("n_removed"), count("words_removed"), F.coalesce("repeats_of", F.array().cast("array<long>")).alias("repeats_of"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("n_removed", F.lit(0)) == 0).alias("kept"))
+        return tables.keep(materialize(out, "digest"))
