@@ -22,8 +22,8 @@ from .common import fold
 from .sampling import language_sample
 from .scoring import with_columns
 
-#: Bound of the training sample: texts a language, characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1500
+#: Bound of the training sample: whole texts a language, and bytes of them together.
+SAMPLE_TEXTS, SAMPLE_BYTES = 96, 144_000
 PIECE, LEVEL, MARGIN = 4096, 6, 0.01
 
 _plain = re.compile(r"[\W\d_]+").sub
@@ -59,7 +59,7 @@ class Compressors:
 
 
 def fit(docs: DataFrame) -> Compressors:
-    return Compressors({k: plain("\n".join(v)) for k, v in language_sample(docs, SAMPLE_TEXTS, SAMPLE_CHARS).items()})
+    return Compressors({k: plain("\n".join(v)) for k, v in language_sample(docs, SAMPLE_TEXTS, SAMPLE_BYTES).items()})
 
 
 def identify(docs: DataFrame, model: Compressors, text_col: str = "text") -> DataFrame:

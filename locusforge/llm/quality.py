@@ -1,12 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text is laid out in chunks that start every CHUNK bytes and overlap by WIDTH - 1, so that filters see every byte window
-of the whole text. Each byte has a learned vector; FILTERS learned filters of WIDTH bytes are rectified and max-pooled in
+A text is laid out in chunks that start every CHUNK bytes and hold WIDTH bytes more, so that filters see every byte window
+of the whole text and nothing of another one: a score depends on the text alone. Each byte has a learned vector; FILTERS learned filters of WIDTH bytes are rectified and max-pooled in
 each chunk; two layers give each chunk a logit and their mean is the text's. Learning is by Adam on labelled texts
 outside the held-out fold, both classes with equal weight; the gradient of a max goes to the one window that made it.
 
 Defined cases: a null or empty text is one chunk of padding and gets the score of that; without labels of both classes
-every score is the share of ones (0.5 without any labels); repeated rows get equal scores.
+every score is the share of ones (0.5 without any labels); repeated rows get equal scores, whatever batch they are in.
 """
 
 from __future__ import annotations
@@ -22,21 +22,27 @@ from .common import fold
 from .sampling import labelled_sample
 from .scoring import with_columns
 
-#: Bound of the training sample: texts a class, characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16_384
+#: Bound of the training sample: whole texts a class, and bytes of them together.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 24 << 20
 CHUNK, WIDTH, VECTOR, FILTERS, HIDDEN = 512, 8, 8, 24, 16
+STRIDE = CHUNK + WIDTH
+#: Steps of learning, texts a step, chunks of each drawn anew in each step, rate.
 STEPS, STEP_TEXTS, TEXT_CHUNKS, RATE = 700, 32, 6, 5e-3
+#: Chunks scored at once (a few MB), always a multiple of EVEN: so the matrix product treats each row alike.
+TOGETHER, EVEN = 256, 16
 ACCEPT = 0.3
 
 
 def layout(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, first): the texts, each padded with zeros to whole chunks, with WIDTH zeros at the end; first: chunk offsets."""
+    """(chunks, first): rows of STRIDE bytes, those that begin every CHUNK bytes of a text, with zeros after its end; first: each text's first row."""
     counts = np.array([max(1, -(-len(b) // CHUNK)) for b in blobs], np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
-    data = np.zeros(first[-1] * CHUNK + WIDTH, np.uint8)
-    for b, at in zip(blobs, first[:-1], strict=True):
-        data[at * CHUNK : at * CHUNK + len(b)] = np.frombuffer(b, np.uint8)
-    return data, first
+    rows = np.zeros((first[-1], STRIDE), np.uint8)
+    for b, at, n in zip(blobs, first[:-1].tolist(), counts.tolist(), strict=True):
+        padded = np.zeros(n * CHUNK + WIDTH, np.uint8)
+        padded[: len(b)] = np.frombuffer(b, np.uint8)
+        rows[at : at + n] = np.lib.stride_tricks.as_strided(padded, (n, STRIDE), (CHUNK, 1))
+    return rows, first
 
 
 class Net:
@@ -51,13 +57,13 @@ class Net:
         self.weights = r.normal(0, 0.3, HIDDEN).astype(np.float32)
         self.base = np.zeros(1, np.float32)
 
-    def pooled(self, data: np.ndarray, where: bool = False):
-        """Per chunk and filter the greatest response; with where, also the window that made it. A phase is a reshape, not a copy."""
-        n = (len(data) - WIDTH) // CHUNK
-        x = self.vectors[data]
+    def pooled(self, rows: np.ndarray, where: bool = False):
+        """Per chunk and filter the greatest response; with where, also the window that made it. A phase is a reshape, not a copy; of the windows of a row the last reaches into the next row and isn't looked at."""
+        n = len(rows)
+        x = self.vectors[np.append(rows.ravel(), np.zeros(WIDTH, np.uint8))]
         best = at = None
         for phase in range(WIDTH):
-            out = (x[phase : phase + n * CHUNK].reshape(-1, WIDTH * VECTOR) @ self.kernel).reshape(n, CHUNK // WIDTH, FILTERS)
+            out = (x[phase : phase + n * STRIDE].reshape(-1, WIDTH * VECTOR) @ self.kernel).reshape(n, STRIDE // WIDTH, FILTERS)[:, : CHUNK // WIDTH]
             if where:
                 i = out.argmax(axis=1)
                 top = np.take_along_axis(out, i[:, None], 1)[:, 0]
@@ -73,13 +79,15 @@ class Net:
         return h, h @ self.weights + self.base
 
     def logits(self, blobs: list[bytes]) -> np.ndarray:
-        data, first = layout(blobs)
+        rows, first = layout(blobs)
         parts = []
-        step = 256  # chunks at once: a few MB
-        for i in range(0, first[-1], step):
-            j = min(i + step, first[-1])
-            parts.append(self._top(np.maximum(self.pooled(data[i * CHUNK : j * CHUNK + WIDTH]), 0))[1])
-        return np.add.reduceat(np.concatenate(parts), first[:-1]) / np.diff(first)
+        for i in range(0, len(rows), TOGETHER):
+            part = rows[i : i + TOGETHER]
+            n = len(part)
+            if n % EVEN:
+                part = np.concatenate([part, np.zeros((-n % EVEN, STRIDE), np.uint8)])
+            parts.append(self._top(np.maximum(self.pooled(part), 0))[1][:n])
+        return np.add.reduceat(np.concatenate(parts), first[:-1]) / np.diff(first) if blobs else np.zeros(0)
 
     def learn(self, blobs: list[bytes], y: np.ndarray, seed: int = 4) -> Net:
         r = np.random.default_rng(seed)
@@ -88,24 +96,20 @@ class Net:
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         while t < STEPS:
             for batch in np.array_split(r.permutation(len(blobs)), -(-len(blobs) // STEP_TEXTS)):
-                data, first = layout([blobs[i] for i in batch])
-                # a few chunks of each text a step; over the epochs all are seen
+                every, first = layout([blobs[i] for i in batch])
+                # a few chunks of each text a step, drawn from the whole text
                 picks = [np.sort(r.permutation(b - a)[:TEXT_CHUNKS]) + a for a, b in zip(first[:-1], first[1:], strict=True)]
-                rows = np.concatenate(picks)
+                rows = every[np.concatenate(picks)]
                 owner = np.repeat(np.arange(len(batch)), [len(p) for p in picks])
                 share = (1 / np.array([len(p) for p in picks], np.float32))[owner]
-                windows = data[(rows * CHUNK)[:, None] + np.arange(CHUNK + WIDTH)]
-                flat = np.zeros(len(rows) * CHUNK + WIDTH, np.uint8)
-                flat[: len(rows) * CHUNK] = windows[:, :CHUNK].ravel()
-                z, at = self.pooled(flat, where=True)
+                z, at = self.pooled(rows, where=True)
                 a = np.maximum(z, 0)
                 h, chunk_logit = self._top(a)
                 logit = np.bincount(owner, chunk_logit * share, len(batch))
                 slope = ((1 / (1 + np.exp(-logit)) - y[batch]) * weight[batch] / len(batch))[owner].astype(np.float32) * share
                 dh = slope[:, None] * self.weights * (h > 0)
                 dz = (dh @ self.inner.T) * (z > 0)
-                spots = (np.arange(len(rows)) * CHUNK)[:, None] + at
-                seen = flat[np.minimum(spots[..., None] + np.arange(WIDTH), len(flat) - 1)]
+                seen = rows[np.arange(len(rows))[:, None, None], at[..., None] + np.arange(WIDTH)]
                 x = self.vectors[seen].reshape(len(rows), FILTERS, WIDTH * VECTOR)
                 dx = (dz[..., None] * self.kernel.T).reshape(-1, VECTOR)
                 dv = np.stack([np.bincount(seen.ravel(), dx[:, k], 256) for k in range(VECTOR)], 1).astype(np.float32)
@@ -131,7 +135,7 @@ class Prior:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Net | Prior:
-    sample = labelled_sample(docs, labels, label, (SAMPLE_ROWS, SAMPLE_ROWS), SAMPLE_CHARS)
+    sample = labelled_sample(docs, labels, label, (SAMPLE_ROWS, SAMPLE_ROWS), SAMPLE_BYTES)
     y = np.array([y for _, y in sample], np.float32)
     if len({*y}) < 2:
         return Prior(float(y.mean()) if len(y) else 0.5)
