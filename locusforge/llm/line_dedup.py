@@ -1,7 +1,12 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop, reassemble by position.
 
+The least and the greatest id of a hash stand for the count of its documents. A document loses lines by position. Hashes
+of very many lines are looked up in a broadcast table, the others by a shuffle join: so a line that a third of all
+documents hold is never dealt to one task.
+
 Defined cases: a null or empty text is one empty line; a null id takes no part (its lines are neither counted nor
-dropped); rows that share an id are one document for the counts and are each rewritten; other columns pass through.
+dropped); rows that share an id are one document for the counts and are each rewritten by their own text; other columns
+pass through, but for columns named n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -9,7 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, BROADCAST_ROWS, ascii_lower, materialize, scratch
+
+#: A hash is hot from so many lines on (more in a corpus of over HOT_LINES * BROADCAST_ROWS lines, so that hot hashes stay few enough to broadcast).
+HOT_LINES = 2_000
+
+
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def _key(line: Column) -> Column:
@@ -22,31 +34,41 @@ def _hash(key: Column) -> tuple[Column, Column]:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """(id, drop): the hashes of the line keys that each document loses.
-
-    min and max of the id stand for the count of distinct documents, so that the aggregate has a fixed width and a line
-    that a third of all documents hold is one row a task before the shuffle.
-    """
+    """(id, th, drop): the positions, from 0, of the lines that each document loses; th: hash of the text."""
     key = _key(F.col("line"))
     lines = (
-        docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split(F.coalesce(text_col, F.lit("")), "\n", -1))).alias("line"))
-        .select("id", key.alias("key"))
-        .filter((F.length("key") >= min_chars) & F.col("id").isNotNull())
+        docs.filter(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(_lines(text_col)).alias("at", "line"))
+        .select("id", "th", "at", key.alias("key"))
+        .filter(F.length("key") >= min_chars)
     )
     h1, h2 = _hash(F.col("key"))
-    lines = lines.select("id", h1.alias("h1"), h2.alias("h2"))
-    shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    return lines.join(shared, ["h1", "h2"]).filter("id > first").groupBy("id").agg(F.collect_set("h1").alias("drop"))
+    lines = lines.select("id", "th", "at", h1.alias("h1"), h2.alias("h2"))
+    shared = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").drop("last")
+    shared = materialize(shared, "shared-lines")
+    # at most BROADCAST_ROWS / 2 hashes can have more lines than this
+    most = max(HOT_LINES, 2 * (shared.agg(F.sum("n")).first()[0] or 0) // BROADCAST_ROWS)
+    hot = shared.filter(F.col("n") > most).select("h1", "h2", F.col("first").alias("hot"))
+    cold = shared.filter(F.col("n") <= most).select("h1", "h2", "first")
+    # a line of a hot hash brings its answer along and meets nothing in the join below, under a key of its own
+    own = F.when(F.col("hot").isNull(), F.col("h1")).otherwise(F.xxhash64("id", "th", "at"))
+    looked = lines.join(F.broadcast(hot), ["h1", "h2"], "left").select("id", "th", "at", "hot", own.alias("h1"), F.when(F.col("hot").isNull(), F.col("h2")).alias("h2"))
+    found = looked.join(cold, ["h1", "h2"], "left").filter(F.col("id") > F.coalesce("hot", "first"))
+    return found.groupBy("id", "th").agg(F.collect_set("at").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with the text rewritten and the columns n_lines, n_dropped added."""
-    gone = dropped_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    stays = lambda x: ~((F.length(_key(x)) >= min_chars) & F.array_contains("__drop", F.xxhash64(_key(x))))
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, stays)))
-    out = joined.withColumns({"__text": F.array_join("__kept", "\n"), "n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long")})
-    return out.withColumn(text_col, F.col("__text")).drop("__id", "__drop", "__kept", "__text")
+    with scratch() as tables:
+        gone = dropped_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop"))
+        gone = tables.keep(materialize(gone, "dropped-lines"))
+    lines = _lines(text_col)
+    joined = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    # the positions that stay, in order
+    stay = F.expr("transform(array(__lines), l -> transform(array_except(sequence(0, size(l) - 1), __drop), i -> l[i]))[0]")
+    joined = joined.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(stay))
+    out = joined.withColumns({"__text": F.when(F.col("__drop").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join("__kept", "\n")), "n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long")})
+    return out.withColumn(text_col, F.col("__text")).drop("__id", "__th", "__drop", "__lines", "__kept", "__text")
 
 
 def digest(docs: DataFrame) -> DataFrame:
