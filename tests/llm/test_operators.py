@@ -190,6 +190,16 @@ def test_line_dedup(spark, docs, rows):
     assert line_dedup.digest(table.limit(0)).count() == 0
 
 
+def test_hot_lines(spark, docs, rows, monkeypatch):
+    """Lines over the bound go by broadcast, the rest by the join: the same rows either way; rows that share an id are cut by their own text."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 5)
+    common = "a very common line"
+    texts = [f"{common}\nown line number {i}\nshared by pairs {i // 2}\n{common.upper()}" for i in range(40)]
+    got = rows(line_dedup.line_dedup(docs([*enumerate(texts), (7, "rare line of seven\nown line number 3")])), "text")
+    assert sum(t.lower().count(common) for t in got) == 2 and sum("shared by pairs" in t for t in got) == 20
+    assert got["rare line of seven"].n_dropped == 1 and len(got) == 41
+
+
 def test_paragraph_dedup(spark, docs, rows):
     r = random.Random(9)
     passage = ". ".join(prose(r, 14).capitalize() for _ in range(4)) + "."
@@ -227,11 +237,33 @@ def test_neighbours(spark, rows):
         found += len({g[1] for g in got_q} & set(best))
         assert all(abs(g[2] - s[list(ids).index(g[1])]) < 1e-12 for g in got_q)
     assert found >= 0.9 * 5 * len(got)
+    odd = spark.createDataFrame([(50, [1.0, 2.0]), (100, [float(x) for x in v[100]])], "vec_id bigint, embedding array<double>")
+    assert {x.query_id for x in neighbours.search(df, odd, 3).collect()} == {100}  # a query of another length takes no part
     few = neighbours.digest(df.filter("vec_id < 3")).collect()
     assert [(x.query_id, x["rank"]) for x in few] == [(0, 1), (0, 2)]
     assert neighbours.digest(df.limit(0)).count() == 0 and neighbours.digest(df.filter("vec_id = 50")).count() == 0
 
 
+def test_neighbours_recall_on_many_blocks(spark, monkeypatch):
+    """Uniform vectors, the hardest case, a third of them one and the same: recall against brute force at 0.9."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4000)
+    monkeypatch.setattr(neighbours, "GROUP", 2)
+    r = np.random.default_rng(5)
+    v = r.normal(size=(24_000, 64))
+    v[::3] = v[0]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for x in neighbours.search(df, df.filter("vec_id % 100 = 1"), 5).collect():
+        got[x.query_id].append(x.vec_id)
+    found = 0
+    for q in range(1, 24_000, 100):
+        s = u @ u[q]
+        s[q] = -2
+        found += len({*got[q]} & {*np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()})
+    assert found >= 0.9 * 5 * 240
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Texts with a bad word or marks in some, in two languages."""
@@ -268,6 +300,63 @@ def test_classifiers(labelled, docs, rows, op, label):
     assert op.digest(table.limit(0), labels).count() == 0
 
 
+def test_quality_is_a_function_of_the_text():
+    """Against a direct convolution; and a score doesn't depend on what stands beside the text."""
+    net, r = quality.Net(), np.random.default_rng(1)
+    blobs = [bytes(r.integers(1, 256, n, np.uint8)) for n in (0, 1, 7, 8, 504, 505, 510, 511, 512, 513, 1024, 1030, 40_000)]
+    for blob, logit in zip(blobs, net.logits(blobs), strict=True):
+        total, chunks = 0.0, max(1, -(-len(blob) // quality.CHUNK))
+        padded = blob + bytes(chunks * quality.CHUNK + quality.WIDTH - len(blob))
+        for c in range(chunks):
+            windows = np.stack([net.vectors[list(padded[i : i + quality.WIDTH])].ravel() for i in range(c * quality.CHUNK, (c + 1) * quality.CHUNK)])
+            pooled = np.maximum((windows.astype(float) @ net.kernel.astype(float)).max(0) + net.shift, 0)
+            total += np.maximum(pooled @ net.inner + net.inner_shift, 0) @ net.weights + net.base[0]
+        assert abs(total / chunks - logit) < 1e-4
+    alone = [float(net.logits([b])[0]) for b in blobs]
+    for _ in range(5):
+        order = r.permutation(len(blobs) * 2) % len(blobs)
+        assert net.logits([blobs[i] for i in order]).tolist() == [alone[i] for i in order]
+
+
+def test_toxicity_by_plain_python(labelled):
+    """The learned score from n-grams cut by Python, one by one."""
+    table, labels = labelled
+    model = toxicity.fit(table, labels)
+    weights = dict(zip(model.at.tolist(), model.weights.tolist(), strict=True))
+    texts = ["", "x", "a nastyword. here", "Été à l'école NASTYWORD", "中文 字 ok", *(r.text for r in table.limit(20).collect())]
+    for text in texts:
+        low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text)
+        low = " " + re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", low).strip(" ") + " " if re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "", low) else " "
+        found = set()
+        for n in toxicity.SIZES:
+            for i in range(len(low) - n + 1):
+                h = 0
+                for c in low[i : i + n]:
+                    h = (h * toxicity._ROLL + ord(c)) % 2**64
+                h = int(toxicity.ta.mix(np.array([(h + n * toxicity._SPREAD) % 2**64], np.uint64))[0])
+                found.add(h >> 64 - toxicity.BITS)
+        assert abs(model.base + sum(weights.get(s, 0.0) for s in found) - model.logits([text.encode()])[0]) < 1e-9
+
+
+def test_language_by_plain_compression(labelled, docs, rows):
+    """Every score from sizes that the library gives for a text's pieces, dictionary by dictionary."""
+    import zstandard
+
+    table, _ = labelled
+    model = language_id.fit(table)
+    assert all(0 < len(d) <= language_id.SAMPLE_BYTES for d in model.dictionaries.values())
+    texts = ["axexix oxuyax", "bxcydz fxg", "x", "Mixed axe bxc" * 900, *(r.text for r in table.limit(10).collect())]
+    got = rows(language_id.identify(docs(texts), model))
+    for i, text in enumerate(texts):
+        data = language_id.plain(text)
+        sizes = {}
+        for name, d in model.dictionaries.items():
+            pack = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(pack.compress(data[k : k + language_id.PIECE])) for k in range(0, len(data), language_id.PIECE))
+        first, second = sorted(sizes, key=lambda n: (sizes[n], n))[:2]
+        assert got[i].lang_near == first and got[i].score == 1 - sizes[first] / sizes[second] and got[i].rejected == (got[i].score < language_id.MARGIN)
+
+
 def test_quality_sees_the_end_of_a_text(labelled, docs, rows):
     table, labels = labelled
     model = quality.fit(table, labels)
@@ -342,6 +431,12 @@ def test_sql(spark, name):
     assert sorted(map(repr, ((*(r[c] for c in names),) for r in df.collect()))) == sorted(map(repr, map(tuple, cur.fetchall())))
 
 
+def docs_with_extras(spark, rows):
+    pairs = [r if isinstance(r, tuple) else (i, r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in pairs], DOC)
+    return df.selectExpr("*", "1 AS score", "2 AS ids", "'z' AS line", "3 AS component_id", "4 AS th")
+
+
 def test_pipeline(spark):
     """Each stage against what brute force makes of its predecessor."""
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -363,5 +458,17 @@ def test_pipeline(spark):
     a, b = held["benchmark decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert {i for i, _ in as_pairs(b)} == {i for i, x in leak_truth(as_pairs(a), items).items() if not x[1]}
+    r = random.Random(3)
+    leak, near = items[0][1], prose(r, 60)
+    awkward = docs_with_extras(spark, [None, "", " \n", leak, near, edited(r, near, 1), "x " * 20_000, (4, near), (4, "other text"), (None, near), (None, None)])
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, awkward, SMALL)
+        assert stage(spark, awkward.limit(0), SMALL).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == awkward.columns
+        after.collect()
+    ids = lambda name: [r.doc_id for r in dict(corpus_pipeline.STAGES)[name](spark, awkward, SMALL).collect()]
+    assert sorted(ids("MinHash near-dedup"), key=str) == sorted([0, 1, 2, 3, 4, 4, 4, 6, None, None], key=str)
+    assert 3 not in ids("benchmark decontamination") and len(ids("line dedup")) == 11 and len(ids("BPE encoding and decoding")) == 11
     last = held["BPE encoding and decoding"][1]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, last.collect()))
