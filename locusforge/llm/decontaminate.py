@@ -7,7 +7,7 @@ words of the benchmark window, so hash collisions do no harm. An item of under 1
 fingerprint is the hash of all its words, looked up among the document's runs of that many words.
 
 Words are hashed once, grams are hashes of word hashes. A Bloom filter of the benchmark's grams (a constant of the plan,
-LEAST_LONGS to MOST_LONGS 64-bit numbers) is asked first: a document without any gram of the benchmark has no window of
+at most MOST_LONGS 64-bit numbers) is asked first: a document without any gram of the benchmark has no window of
 it, and a fingerprint that is no gram of it joins nothing. The filter has no false negatives; beyond its size it only
 lets more fingerprints pass to the join. One pass over the texts writes each row's word count and posted fingerprints
 to the shared folder.
@@ -21,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, few, materialize, scratch
+from .common import LOWER, PROBES, UPPER, bloom, few, materialize, scratch
 
 WINDOW, GRAM = 10, 5
 GRAMS = WINDOW - GRAM + 1
 #: Broadcast the benchmark's windows up to this many rows of at most 15 words and this many bytes; beyond, shuffle join.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
-#: The Bloom filter: one 64-bit number for each gram within these bounds, probes by shifts of the gram's hash.
-LEAST_LONGS, MOST_LONGS, PROBES = 1 << 10, 1 << 17, (0, 20, 40)
+#: The Bloom filter has a 64-bit number for each gram, this many at most.
+MOST_LONGS = 1 << 17
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -70,21 +70,13 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def _bloom(bench: DataFrame) -> tuple[str, int]:
-    """(the filter as a constant in SQL, how many numbers it has)."""
-    marks = bench.select(F.explode("marks").alias("g")).distinct()
-    longs = LEAST_LONGS
-    while longs < min(marks.count(), MOST_LONGS):
-        longs *= 2
-    spots = marks.select(F.explode(F.array(*[F.shiftright("g", s) for s in PROBES])).alias("p"))
-    held = spots.groupBy(F.expr(f"cast(shiftright(p, 6) & {longs - 1} AS int)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("v"))
-    values = [0] * longs
-    for r in held.collect():  # at most `longs` rows
-        values[r.k] = r.v
-    return f"cast(split('{','.join(map(str, values))}', ',') AS array<bigint>)", longs
+    """(a Bloom filter of the benchmark's grams as a constant in SQL, how many numbers it has)."""
+    values = bloom(bench.select(F.explode("marks").alias("g")).distinct(), "g", 1, MOST_LONGS)
+    return f"cast(split('{','.join(map(str, values.tolist()))}', ',') AS array<bigint>)", len(values)
 
 
 def _held(x: str, longs: int) -> str:
-    tests = [f"(shiftright(b[cast(shiftright({x}, {s + 6}) & {longs - 1} AS int)], cast(shiftright({x}, {s}) & 63 AS int)) & 1) = 1" for s in PROBES]
+    tests = [f"(shiftright(b[cast(shiftrightunsigned({x}, {s + 6}) & {longs - 1} AS int)], cast(shiftright({x}, {s}) & 63 AS int)) & 1) = 1" for s in PROBES]
     return " AND ".join(tests)
 
 

@@ -14,8 +14,10 @@ equal pieces of 20 words or more, whatever stands around it.
 
 A piece repeats if two documents hold it, a paragraph if its cluster is in two documents or more. Adjoining repeats are
 a run. A run of at least RUN words is a candidate: it is extended by PICK words at both ends, and every window of PASSAGE
-words that another document's candidate holds word by word is a passage, to the word. A run that holds a paragraph with
-near copies and repeats in PASSAGE words or more is one too. A document loses the passages that a smaller id holds too.
+words that another document's candidate holds word by word is a passage, to the word. Of a run of SURE words or more all
+repeats are passages, and so are those of a run of PASSAGE words that holds a paragraph with near copies; there, windows
+only find the exact ends, and windows from inside such runs are looked up for the others' sake alone (a Bloom filter
+keeps those that may be wanted). A document loses the passages that a smaller id holds too.
 
 Defined cases: null, empty and blank texts have no paragraphs; a null id takes no part; repeats within one document
 stay; rows that share an id are one document for what repeats, and are each cut by their own text; an empty table gives
@@ -35,13 +37,14 @@ from pyspark.sql.window import Window
 
 from . import across
 from . import textarrays as ta
-from .common import few, materialize, scratch
+from .common import few, materialize, scratch, sieve
 from .components import components
 from .near_dedup import PERCENT, confirmed
 
 LONG, PICK = 40, 16
 BANDS, ROWS = 8, 2
 LEAST_WORDS, RUN, PASSAGE = 7, 20, 50
+SURE = PASSAGE + 2 * PICK
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x2E, 0x21, 0x3F]] = True  # . ! ?
@@ -175,12 +178,14 @@ def _near(sets: pa.Array, i: np.ndarray, j: np.ndarray, forest: across.Forest) -
 def _links(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verified links (u, v) between different paragraphs, (id, th, at, n, node) of every paragraph that met another): the two stars of each key first, then all pairs these leave apart."""
     rows = base.select("text").mapInArrow(_bands, "key long, h long")
-    live = few(materialize(rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least < most"), "bands"))
-    met = materialize(rows.join(live, "key").distinct(), "met")
+    live = materialize(rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least < most"), "bands")
+    rows = base.select("text").mapInArrow(sieve(_bands, "key", live.select("key")), "key long, h long")
+    met = materialize(rows.join(few(live), "key").distinct(), "met")
     ends = F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("most").alias("b"))))
     pairs = materialize(met.select(ends.alias("p")).select("p.a", "p.b").filter("a < b").distinct(), "pairs")
-    need = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need"))
-    held = materialize(base.mapInArrow(_sets, "id long, th long, at int, n int, node long, set array<long>").join(need, "node", "left_semi"), "held")
+    need = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
+    held = base.mapInArrow(sieve(_sets, "node", need), "id long, th long, at int, n int, node long, set array<long>")
+    held = materialize(held.join(few(need), "node", "left_semi"), "held")
     sets = materialize(held.select("node", "set").dropDuplicates(["node"]).select("node", F.array_distinct("set").alias("set")), "sets")
     stars = materialize(confirmed(pairs, sets), "links")
     comp = few(components(stars).withColumnRenamed("node", "h"))
@@ -189,22 +194,32 @@ def _links(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars.union(materialize(across.met(rest, "set", _near).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")), held.drop("set")
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of PASSAGE words in each candidate run and PICK words around it."""
-    for batch in batches:
-        for part in ta.chunks(batch, "text"):
-            t = Texts(part)
-            runs, begin, end = part.column("runs"), [], []
-            for i, own in enumerate(runs.to_pylist()):
-                for r in own:
-                    begin.append((i, max(t.first[i], t.first[i] + r["a"] - PICK), min(t.first[i + 1], t.first[i] + r["b"] + PICK)))
-            begin = np.array(begin, np.int64).reshape(-1, 3)
-            size = np.maximum(begin[:, 2] - begin[:, 1] - PASSAGE + 1, 0)
-            total = np.concatenate([[0], np.cumsum(size)])
-            places = np.repeat(begin[:, 1] - total[:-1], size) + np.arange(total[-1])
-            which = np.repeat(begin[:, 0], size)
-            text = pa.array(which)
-            yield pa.record_batch([part.column("id").take(text), part.column("th").take(text), pa.array(places - t.first[which], pa.int32()), pa.array(spans_hash(t.words, places, np.full(len(places), PASSAGE)))], ["id", "th", "at", "g"])
+def _windows(inside: bool):
+    """Hashes of the windows of PASSAGE words in each candidate run and PICK words around it: of those inside long runs, or of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.chunks(batch, "text"):
+                t = Texts(part)
+                spans = []  # (text, first place of a window, one past the last)
+                for i, own in enumerate(part.column("runs").to_pylist()):
+                    low, high = t.first[i], t.first[i + 1]
+                    for r in own:
+                        a, b = max(low, low + r["a"] - PICK), min(high, low + r["b"] + PICK) - PASSAGE + 1
+                        if r["b"] - r["a"] >= SURE:
+                            left, right = low + r["a"] + 1, low + r["b"] - PASSAGE
+                            spans += [(i, left, right)] if inside else [(i, a, left), (i, right, b)]
+                        elif not inside:
+                            spans.append((i, a, b))
+                spans = np.array(spans, np.int64).reshape(-1, 3)
+                size = np.maximum(spans[:, 2] - spans[:, 1], 0)
+                total = np.concatenate([[0], np.cumsum(size)])
+                places = np.repeat(spans[:, 1] - total[:-1], size) + np.arange(total[-1])
+                which = np.repeat(spans[:, 0], size)
+                text = pa.array(which)
+                yield pa.record_batch([part.column("id").take(text), part.column("th").take(text), pa.array(places - t.first[which], pa.int32()), pa.array(spans_hash(t.words, places, np.full(len(places), PASSAGE)))], ["id", "th", "at", "g"])
+
+    return run
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +231,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _repeats(base: DataFrame) -> DataFrame:
     units = materialize(base.mapInArrow(_units, "id long, th long, at int, n int, h long"), "units")
-    equal = few(materialize(units.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "repeating"))
-    rows = units.join(equal, "h").select("id", "th", "at", "n", "keeper", F.lit(0).alias("near"))
+    equal = materialize(units.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "repeating")
+    rows = units.mapInArrow(sieve(iter, "h", equal.select("h")), units.schema).join(few(equal), "h").select("id", "th", "at", "n", "keeper", F.lit(0).alias("near"))
     links, held = _links(base)
     if not links.isEmpty():
         found = held.join(few(components(links)), "node")
@@ -233,12 +248,16 @@ def _repeats(base: DataFrame) -> DataFrame:
     own = runs.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     ids = few(materialize(runs.select("id").distinct(), "ids"))
     texts = base.join(ids, "id", "left_semi").dropDuplicates(["id", "th"])
-    windows = texts.join(own, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "text", "runs").mapInArrow(_windows, "id long, th long, at int, g long")
-    windows = materialize(windows, "windows")
+    texts = materialize(texts.join(own, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "text", "runs"), "texts")
+    form = "id long, th long, at int, g long"
+    windows = materialize(texts.mapInArrow(_windows(False), form), "windows")
+    grams = materialize(windows.select("g").distinct(), "grams")
+    inner = materialize(texts.filter(f"exists(runs, r -> r.b - r.a >= {SURE})").mapInArrow(sieve(_windows(True), "g", grams), form), "inner")
+    windows = windows.union(inner)
     shared = few(materialize(windows.groupBy("g").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last").drop("last"), "shared"))
     hits = windows.join(shared, "g").select("id", "th", "at", "keeper").distinct()
     exact = hits.withColumn("k", F.col("at") - F.row_number().over(Window.partitionBy("id", "th", "keeper").orderBy("at"))).groupBy("id", "th", "keeper", "k").agg(F.min("at").alias("at"), (F.max("at") - F.min("at") + PASSAGE).alias("n"))
-    close = runs.filter(f"near = 1 AND b - a >= {PASSAGE}").select("id", "th", "run")
+    close = runs.filter(f"b - a >= {SURE} OR near = 1 AND b - a >= {PASSAGE}").select("id", "th", "run")
     found = rows.join(few(materialize(close, "passages")), ["id", "th", "run"], "left_semi").select("id", "th", "at", "n", "keeper").union(exact.select("id", "th", "at", "n", "keeper"))
     return found.select("id", "th", "at", "n", "keeper", (F.col("id") > F.col("keeper")).alias("removed"))
 
