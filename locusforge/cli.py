@@ -110,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         spark = session(args)
         motifs = config.load(spark, args.pwm, args.cdf)
-        params = Params(checkpoint=args.checkpoint)
+        params = Params(checkpoint=args.checkpoint, spread=2 * spark.sparkContext.defaultParallelism)  # a chromosome's fragments come from one task
         log.info("input %s, fragments of %d overlapping by %d", args.input, params.fragment_length, params.overlap)
         st = os.stat(args.input)
         result = annotate(fasta.read_fragments(spark, args.input, params.fragment_length, params.overlap), motifs, params, f"{os.path.abspath(args.input)} {st.st_size} {st.st_mtime_ns}")

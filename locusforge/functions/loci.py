@@ -63,10 +63,7 @@ def alignment(motifs: Column) -> Column:
 
 
 def format_double(d: Column) -> Column:
-    """Shortest decimal text: plain for 1e-3 <= |d| < 1e7 (`5`, not `5.0`), else `8.77E-12` and `1E-6`; zero is `0.0`.
-
-    The JVM's own text has more digits than needed for a few values; the shortest of two candidate texts that reads back equal is taken.
-    """
+    """The JVM's decimal text (since version 19 the shortest that reads back equal): plain for 1e-3 <= |d| < 1e7 (`5`, not `5.0`), else `8.77E-12` and `1E-6`; zero is `0.0`."""
     text = d.cast("string")
     plain = F.regexp_replace(text, r"\.0$", "")
     science = F.regexp_replace(text, r"\.0E", "E")

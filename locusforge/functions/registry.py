@@ -19,10 +19,9 @@ def _revcomp(s: str | None) -> str | None:
 
 
 def _frame(s: str | None, strand: str, frame: int) -> str | None:
-    if s is None:
+    if s is None or strand not in ("+", "-") or frame not in (0, 1, 2):
         return None
-    found = {(a, b): p for a, b, p in scan.six(s.encode())}.get((strand, frame))
-    return None if found is None else scan._SHOWN[found].tobytes().decode()
+    return scan.shown(scan.translated(scan.strand_bases(s.encode(), strand), frame))
 
 
 def _domains(ids) -> str:
@@ -65,7 +64,7 @@ class Chop:
 class SixFrames:
     def eval(self, dna: str) -> Iterator[tuple[str, int, str]]:
         for strand, frame, protein in scan.six((dna or "").encode()):
-            yield strand, frame, scan._SHOWN[protein].tobytes().decode()
+            yield strand, frame, scan.shown(protein)
 
 
 def register(spark: SparkSession) -> None:

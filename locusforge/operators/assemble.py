@@ -112,31 +112,28 @@ def islands(motifs: DataFrame, params: AssembleParams) -> DataFrame:
     return rows.withColumn("__seeded", seeded).filter("__seeded > 0").drop("__cut", "__both", "__whole", "__seeded")
 
 
-_PIECE = "contig_id string, first_at bigint, piece int, members array<bigint>"
+_PIECE = f"contig_id string, first_at bigint, piece int, motifs array<{LOCUS_MOTIF}>"
 
 
 def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams()) -> DataFrame:  # noqa: B008
-    """motifs -> loci(name, contig_id, locus_no, strand, start_pos, end_pos, domains, motif_list, is_complete, has_stop, motifs)."""
+    """motifs -> loci(name, contig_id, locus_no, strand, start_pos, end_pos, domains, motif_list, is_complete, has_stop, motifs). The motifs go through the fold, so that the table is read once."""
     rows = islands(motifs, params)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
         at = group["at"].tolist()
-        island = Island(group["motif_id"].tolist(), group["dna_start"].tolist(), (group["strand"] == "-").tolist(), group["stop"].tolist())
+        island = Island(group["motif_id"].tolist(), group["dna_start"].tolist(), (group["strand"] == "-").tolist(), group["protein_sequence"].str.contains("*", regex=False).fillna(False).tolist())
         seeds = [list(range(i, i + n)) for i, n in enumerate(group["seed_length"].tolist()) if n]
+        shown = group[["motif_id", "protein_sequence", "pvalue", "dna_start", "dna_end", "strand"]].to_dict("records")
         out = []
         for n, locus in enumerate(island.assemble(seeds, params)):
             if not params.keep_duplicates:
                 locus = list(dict.fromkeys(locus))
-            out.append((group["contig_id"].iloc[0], at[locus[0]], n, [at[i] for i in locus]))
-        return pd.DataFrame(out, columns=["contig_id", "first_at", "piece", "members"])
-
-    slim = rows.select("contig_id", "island", "at", "motif_id", "dna_start", "strand", F.contains("protein_sequence", F.lit("*")).alias("stop"), "seed_length")
-    pieces = slim.groupBy("contig_id", "island").applyInPandas(fold, _PIECE)
-    wanted = pieces.select("contig_id", "first_at", "piece", F.posexplode("members").alias("n", "at"))
-    full = rows.select("contig_id", "at", F.struct("motif_id", "protein_sequence", "pvalue", "dna_start", "dna_end", "strand").cast(LOCUS_MOTIF).alias("m"))
-    built = wanted.join(full, ["contig_id", "at"]).groupBy("contig_id", "first_at", "piece").agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("x")).withColumn("motifs", F.transform("x", lambda x: x["m"]))
-    return name_loci(built)
+            out.append((group["contig_id"].iloc[0], at[locus[0]], n, [shown[i] for i in locus]))
+        return pd.DataFrame(out, columns=["contig_id", "first_at", "piece", "motifs"])
+
+    slim = rows.select("contig_id", "island", "at", "motif_id", "protein_sequence", "pvalue", "dna_start", "dna_end", "strand", "seed_length")
+    return name_loci(slim.groupBy("contig_id", "island").applyInPandas(fold, _PIECE))
 
 
 def name_loci(loci: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Overlapping fragments, translation and coordinates as native operators."""
+"""Overlapping fragments, translation and coordinates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusforge.functions.sequence import six_frames
+from locusforge.operators.scan import shown, six
+from locusforge.schemas import PROTEIN
 
 
 def chop(contigs: DataFrame, length: int = 20_000, overlap: int = 5_000) -> DataFrame:
@@ -24,8 +28,18 @@ def chop(contigs: DataFrame, length: int = 20_000, overlap: int = 5_000) -> Data
 
 
 def translate_frames(fragments: DataFrame) -> DataFrame:
-    """(contig_id, frag_offset, frag_len, strand, frame, protein): six rows a fragment."""
-    return fragments.select("contig_id", "frag_offset", "frag_len", F.explode(six_frames(F.col("frag"))).alias("x")).select("contig_id", "frag_offset", "frag_len", "x.*")
+    """(contig_id, frag_offset, frag_len, strand, frame, protein): six rows a fragment. In numpy, as the scan does it: a lookup a codon costs an interpreted expression ten times as much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, frag in enumerate(batch.column("frag")):
+                if not frag.is_valid:
+                    continue
+                strands, frames, proteins = zip(*((s, f, shown(p)) for s, f, p in six(frag.as_py().encode())), strict=True)
+                same = [batch.column(c).take(pa.array([i] * len(frames))) for c in ("contig_id", "frag_offset", "frag_len")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(strands), pa.array(frames, pa.int32()), pa.array(proteins)], ["contig_id", "frag_offset", "frag_len", "strand", "frame", "protein"])
+
+    return fragments.select("contig_id", "frag_offset", "frag_len", "frag").mapInArrow(run, PROTEIN)
 
 
 def dna_span(strand: Column, frame: Column, offset: Column, frag_len: Column, position: Column, width: Column) -> tuple[Column, Column]:

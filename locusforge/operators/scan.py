@@ -9,6 +9,7 @@ Nothing is shuffled, and a batch is handled in slices of about SLICE bases, so m
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,18 @@ def translated(bases: np.ndarray, frame: int) -> np.ndarray:
     return _AMINO[np.where(known, c @ np.array([16, 4, 1]), 64)]
 
 
-def six(fragment: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+def shown(protein: np.ndarray) -> str:
+    return _SHOWN[protein].tobytes().decode()
+
+
+def strand_bases(fragment: bytes, strand: str) -> np.ndarray:
     bases = _BASE[np.frombuffer(fragment, np.uint8)]
-    back = np.where(bases < 4, 3 - bases, 4)[::-1]
-    for strand, b in (("+", bases), ("-", back)):
+    return bases if strand == "+" else np.where(bases < 4, 3 - bases, 4)[::-1]
+
+
+def six(fragment: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+    for strand in "+-":
+        b = strand_bases(fragment, strand)
         for frame in range(3):
             yield strand, frame, translated(b, frame)
 
@@ -92,10 +101,12 @@ class Scanner:
         then these go.
         """
         standing: dict[int, tuple[int, float]] = {}
+        places: list[int] = []  # of those standing, ascending: only places within the greatest width can overlap
         for motif_id, at, p in candidates:
             stop = at + self.motifs.width(motif_id)
-            after = sorted(k for k in standing if at <= k < stop)
-            before = sorted(k for k in standing if k < at and k + self.motifs.width(standing[k][0]) > at)
+            first, here, last = bisect_left(places, at - self.reach), bisect_left(places, at), bisect_left(places, stop)
+            after = places[here:last]
+            before = [k for k in places[first:here] if k + self.motifs.width(standing[k][0]) > at]
             joint = 1.0
             for k in after + before:
                 joint *= standing[k][1]
@@ -103,8 +114,10 @@ class Scanner:
                 continue
             for k in after + before:
                 del standing[k]
+                del places[bisect_left(places, k)]
             standing[at] = (motif_id, p)
-        return [(k, *standing[k]) for k in sorted(standing)]
+            insort(places, at)
+        return [(k, *standing[k]) for k in places]
 
     def accepted(self, proteins: list[np.ndarray]) -> Iterator[list[tuple[int, int, float]]]:
         for c in self.candidates(proteins):

@@ -17,6 +17,7 @@ from locusforge.functions import loci as fn
 from locusforge.functions.sequence import reverse_complement, wrapped
 
 LABEL = "locusforge"
+# Header lines of GFF and BED files (here, in gff_header and BED_HEADERS).
 GFF_COLUMNS = "#seqname\tsource\tfeature\tstart\tend\tscore\tstrand\tframe\tattribute"
 # Fixed value: the reference row of the NB-ARC alignment, padded to 165 columns.
 ALIGNMENT_REFERENCE = ">NP_001021202.1\nFLHGRAGSGKSVIASQALSKS-----------------------------TLFVFDDVVQEETIRLRLRCLVTTRDVEISNAASQ" + "-" * 80

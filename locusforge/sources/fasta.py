@@ -56,7 +56,8 @@ def records(path: str, begin: int = 0, end: int | None = None) -> Iterator[tuple
                     yield line
 
         for _ in following():  # before the first header of the range
-            pass
+            if end is not None and at >= end:  # inside one long record: it is another range's
+                return
         while held:
             here, line = held.pop()
             if end is not None and here >= end:
