@@ -2,7 +2,7 @@
 
 Each distinct shingle set (an exact class: copies collapse here, before anything is paired) has 128 minhashes. Tree t
 orders the sets by the first 64 of them rotated to start at component 3t. Sets that share the first 3 components in a
-tree are a region. A region of more than REGION sets is cut again at the next depth (6, 12, 24, 48, 64 components), so
+tree are a region. A region of more than REGION sets is cut again at the next depth (9, 27, 64 components), so
 dense regions get deep keys and sparse ones shallow keys; at each depth the crowded sets are candidates of the region's
 least set too. In a region all pairs are compared by signature, in order of likeness (the order of common prefixes, over
 all components): those likely over the threshold are candidates, except where stronger candidates already connect the
@@ -42,7 +42,7 @@ from .components import components
 
 HASHES, TREE_HASHES, STEP = 128, 64, 3
 TREES = TREE_HASHES // STEP
-DEPTHS = (3, 6, 12, 24, 48, 64)
+DEPTHS = (3, 9, 27, 64)
 REGION = 256
 #: Share of equal minhashes under which a pair at 0.75 falls with probability 1.4e-5; ways that connect two sets.
 LIKELY, WAYS = 0.58, 4
@@ -174,13 +174,13 @@ def _linked(load: pa.Array, i: np.ndarray, j: np.ndarray, forest: across.Forest)
 
 def unjudged(classes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between sets that share a region and that confirmed links have not put in one component."""
-    slim = classes.select("node", "n", "sig", "mark").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    slim = classes.select("node", "n", "sig").join(few(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = slim.select("node", "n", "sig", "comp", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     members = rows.select("node", "comp", F.col("n").alias("weight"), F.struct("tree", F.expr(f"xxhash64(tree, slice(concat(sig, sig), {STEP} * tree + 1, {DEPTHS[0]}))").alias("key")).alias("region"))
     rows = across.unjoined(members, 2)  # the one pair of a region of two has been judged
     # a set that is no candidate of any region has no likely partner and needs no set here
     load = F.struct(F.col("region.tree").alias("tree"), "sig", "mark", "set").alias("load")
-    found = across.met(rows.join(slim.select("node", "sig", "mark"), "node").join(sets, "node").select("region", "node", "comp", "lo", "hi", "one", load), "load", _linked)
+    found = across.met(rows.join(sets, "node").select("region", "node", "comp", "lo", "hi", "one", load), "load", _linked)
     return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -198,7 +198,8 @@ def _components(base: DataFrame) -> DataFrame:
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node")
     need = few(materialize(need.select(F.col("rep").alias("id"), F.col("node").alias("want")), "need"))
     sets = base.select("id", "text").join(need.select("id").distinct(), "id").mapInArrow(_expand, "node long, set array<bigint>")
-    sets = materialize(sets.join(need.select(F.col("want").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets.join(need.select(F.col("want").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(sets.join(classes.select("node", "sig", "mark"), "node"), "sets")
     # first each set with its closest partner
     closest = pairs.groupBy(F.col("b")).agg(F.max(F.struct("w", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     first = materialize(confirmed(closest, sets), "links")
