@@ -29,12 +29,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import pieces
-from .memo import Memo, once
+from .memo import Memo
 from .scoring import with_columns
 
 _NEVER = 1 << 60
 #: Words, and pairs of tokens, remembered by a worker: the older half is forgotten when the newer is full.
-MEMORY = 300_000
+MEMORY = 60_000
 
 #: U+00C0-U+00FF: letters whose lower case differs in one bit of the second byte.
 LEADS = (0xC3,)
@@ -48,14 +48,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class WordBPE:
-    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text; a worker makes it once."""
+    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text; each task makes its own and lets it go, for a worker's memory is shared with other stages."""
 
     def __init__(self, source: str):
         self.source = source
         self.memory = Memo(MEMORY)
 
     def __reduce__(self):
-        return once, (WordBPE, self.source)
+        return WordBPE, (self.source,)
 
     @cached_property
     def tables(self) -> WordBPE:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 
 _made: dict[tuple, object] = {}
 
@@ -47,8 +46,11 @@ class Numbers:
     """Numbers 0, 1, 2 ... for 64-bit keys in order of arrival. A large index and a small one of the latest keys, so that an arrival seldom rebuilds the large one."""
 
     def __init__(self):
+        import pandas as pd  # here alone: every worker that imports it holds some 50 MB more
+
+        self.index = pd.Index
         self.keys = np.zeros(0, np.int64)
-        self.large = self.small = pd.Index(self.keys)
+        self.large = self.small = self.index(self.keys)
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -67,9 +69,9 @@ class Numbers:
         n = len(self.keys)
         self.keys = np.concatenate([self.keys, keys])
         if 4 * (len(self.keys) - len(self.large)) > len(self.large):
-            self.large, self.small = pd.Index(self.keys), pd.Index(self.keys[:0])
+            self.large, self.small = self.index(self.keys), self.index(self.keys[:0])
         else:
-            self.small = pd.Index(self.keys[len(self.large) :])
+            self.small = self.index(self.keys[len(self.large) :])
         return np.arange(n, len(self.keys))
 
 

@@ -7,7 +7,6 @@ class. A text with any other character is `odd` and left to the caller.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -139,7 +138,5 @@ def split_bytes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, sample, which): the distinct pieces by hash, a piece of each, and for each piece which of them it is."""
-    which, keys = pd.factorize(ta.word_hashes(data, starts, ends).view(np.int64))
-    sample = np.zeros(len(keys), np.int64)
-    sample[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    keys, sample, which = np.unique(ta.word_hashes(data, starts, ends).view(np.int64), return_index=True, return_inverse=True)
     return keys, sample, which
