@@ -2,7 +2,8 @@ r"""BPE encoding by per-prefix dynamic programming, and decoding.
 
 In the merges' result for a string, the last token of each prefix is unique. For each prefix an automaton reports the
 tokens that are its suffixes; the one that fits is that whose pair with the last token of the remaining prefix is
-compatible: no merge would have crossed their boundary. Back-pointers from the whole word give its ids.
+compatible: no merge would have crossed their boundary. Back-pointers from the whole word give its ids. The ids of a
+word, and the digits and name of an id, lie end to end in arrays: a text is put together without a Python object a word.
 
 Whether two tokens are compatible is read off the way they are built: the pieces that touch the boundary grow by known
 merges at known ranks (ids rise with rank), and the pair is incompatible if at some time the touching pieces could merge
@@ -20,6 +21,7 @@ import hashlib
 import json
 import re
 from functools import cached_property
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,12 +31,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import pieces
-from .memo import Memo
+from .memo import Flat, Memo, Numbers, once
 from .scoring import with_columns
 
 _NEVER = 1 << 60
-#: Words, and pairs of tokens, remembered by a worker: the older half is forgotten when the newer is full.
-MEMORY = 60_000
+#: Remembered by a worker: words of common characters (some 60 bytes each), other words, pairs of tokens.
+MEMORY, ODD_MEMORY, PAIRS = 500_000, 30_000, 150_000
 
 #: U+00C0-U+00FF: letters whose lower case differs in one bit of the second byte.
 LEADS = (0xC3,)
@@ -48,14 +50,14 @@ def byte_letters() -> dict[str, int]:
 
 
 class WordBPE:
-    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text; each task makes its own and lets it go, for a worker's memory is shared with other stages."""
+    """An encoder for a vocabulary file of byte-level BPE with word ends. Pickles as the file's text; a worker makes it once."""
 
     def __init__(self, source: str):
         self.source = source
-        self.memory = Memo(MEMORY)
+        self.memory, self.seen, self.ids = Memo(ODD_MEMORY), None, None
 
     def __reduce__(self):
-        return WordBPE, (self.source,)
+        return once, (WordBPE, self.source)
 
     @cached_property
     def tables(self) -> WordBPE:
@@ -87,6 +89,10 @@ class WordBPE:
         for i, s in text.items():
             self.automaton.add_word(s, (i, len(s)))
         self.automaton.make_automaton()
+        self.digit_text, self.name_text = Flat("u1"), Flat("u1")
+        for texts, of in ((self.digit_text, str), (self.name_text, lambda i: self.names.get(i, ""))):
+            made = [f"{of(i)} ".encode() for i in range(max(self.names) + 1)]
+            texts.extend(np.frombuffer(b"".join(made), np.uint8), np.array([len(x) for x in made], np.int64))
         return self
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -109,24 +115,21 @@ class WordBPE:
         """The ids of one word, that is one piece of pre-tokenization."""
         t = self.tables
         n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, token in t.automaton.iter(word[:-1].decode("latin-1") + chr(256 + word[-1])):
-            ends[end].append(token)
-        last, fits = [0] * (n + 1), t.fits
-        size = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for token, length in ends[i - 1]:
-                if length < i:
-                    pair = last[i - length] << 32 | token
-                    good = fits.get(pair)
-                    if good is None:
-                        if len(fits) > MEMORY:
-                            fits.clear()
-                        good = fits[pair] = t._compatible(last[i - length], token)
-                    if not good:
-                        continue
-                last[i], size[i] = token, length
-                break
+        last, size, fits = [0] * (n + 1), [0] * (n + 1), t.fits
+        for end, (token, length) in t.automaton.iter(word[:-1].decode("latin-1") + chr(256 + word[-1])):
+            i = end + 1
+            if size[i]:
+                continue
+            if length < i:
+                pair = last[i - length] << 32 | token
+                good = fits.get(pair)
+                if good is None:
+                    if len(fits) > PAIRS:
+                        fits.clear()
+                    good = fits[pair] = t._compatible(last[i - length], token)
+                if not good:
+                    continue
+            last[i], size[i] = token, length
         out = []
         while n:
             out.append(last[n])
@@ -154,44 +157,65 @@ class WordBPE:
                 out += [bytes(map(letters.__getitem__, w)) for w, _ in cutter.pre_tokenize_str(normalizer.normalize_str(part))]
         return out
 
-    def known(self, word: bytes | int) -> tuple[str, str, int]:
-        """(ids as text, decoded text, number of ids) of a word."""
-        if isinstance(word, int):
-            return str(word), self.decode([word]), 1
+    def known(self, word: bytes | int) -> bytes:
+        """The ids of a word of a text of uncommon characters, as bytes of an array."""
         found = self.memory.find([word])[0]
         if found is None:
-            ids = self.ids_of(word)
-            found = self.memory.put(word, (" ".join(map(str, ids)), self.decode(ids), len(ids)))
+            found = self.memory.put(word, np.array([word] if isinstance(word, int) else self.ids_of(word), np.int32).tobytes())
         return found
 
     def encode(self, text: str | None) -> list[int]:
         return [i for w in self.words(text or "") for i in ([w] if isinstance(w, int) else self.ids_of(w))]
 
-    def batch(self, column: pa.Array):
-        """Per text: (ids as text, decoded text, number of ids)."""
+    def _numbers(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number in memory of each distinct word."""
+        if self.seen is None or len(self.seen) > MEMORY:
+            self.seen, self.ids = Numbers(), Flat("<i4")
+        at = self.seen.find(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            whole = data.tobytes()
+            made = [self.ids_of(whole[a:b]) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+            size = np.array([len(x) for x in made], np.int64)
+            self.ids.extend(np.fromiter(chain.from_iterable(made), np.int32, int(size.sum())), size)
+            at[missing] = self.seen.add(keys[missing])
+        return at
+
+    def arrays(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
         data, offs = pieces.raw(column)
         low = data.copy()
         low[(data >= 65) & (data <= 90)] += 32
         accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
         low[accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E)]] += 32
         starts, ends = pieces.split_words(low, offs)
-        keys, sample, which = pieces.distinct(low, starts, ends)
-        whole = low.tobytes()
-        words = [whole[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
-        common = np.zeros(len(words), bool)
         first = np.searchsorted(starts, offs)
         odd = pieces.odd_texts(data, offs, LEADS) | pieces.long_texts(first, starts, ends)
-        good = ~np.repeat(odd, np.diff(first))
-        common[which[good]] = True
-        found = self.memory.find(words)
-        for i in np.flatnonzero(common & np.array([x is None for x in found], bool)).tolist():
-            found[i] = self.known(words[i])
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            if odd[i]:
-                got = [self.known(w) for w in self.words(column[i].as_py())]
-            else:
-                got = [found[k] for k in which[a:b].tolist()]
-            yield " ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got])
+        words = np.diff(first)
+        good = ~np.repeat(odd, words)
+        starts, ends = starts[good], ends[good]
+        keys, sample, which = pieces.distinct(low, starts, ends)
+        flat, edge = self.ids_at(low, keys, starts[sample], ends[sample], which)
+        edge = edge[np.concatenate([[0], np.cumsum(np.where(odd, 0, words))])].tolist()
+        return [np.frombuffer(b"".join(map(self.known, self.words(column[i].as_py()))), np.int32) if odd[i] else flat[edge[i] : edge[i + 1]] for i in range(len(column))]
+
+    def ids_at(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words, end to end; where each word's begin, and the end)."""
+        number = self._numbers(data, keys, starts, ends)  # this may begin a new memory
+        return self.ids.take(number[which])
+
+    def batch(self, column: pa.Array):
+        """Per text: (ids, ids as text, decoded text), texts as UTF-8."""
+        t = self.tables
+        ids = self.arrays(column)
+        if not ids:
+            return
+        flat = np.concatenate(ids)
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        (digits, d), (names, n) = t.digit_text.take(flat), t.name_text.take(flat)
+        digits, names, d, n = digits.tobytes(), names.tobytes(), d[edge].tolist(), n[edge].tolist()
+        for i, x in enumerate(ids):  # each token brings the space after it: the last one's goes
+            yield x, digits[d[i] : max(d[i], d[i + 1] - 1)], names[n[i] : max(n[i], n[i + 1] - 1)]
 
 
 def load(path: str) -> WordBPE:
@@ -205,17 +229,17 @@ def encode(docs: DataFrame, bpe: WordBPE, text_col: str = "text") -> DataFrame:
 
     def run(column: pa.Array) -> list:
         got = list(bpe.batch(column))
-        return [[np.array(g[0].split(), np.int32) for g in got], [g[1] for g in got]]
+        return [[g[0] for g in got], [g[2].decode() for g in got]]
 
     return with_columns(docs, run, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], text_col)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     bpe = load(path)
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sha = lambda s: hashlib.sha256(s).hexdigest()
 
     def run(column: pa.Array) -> list:
-        rows = [(n, sha(ids), sha(decoded)) for ids, decoded, n in bpe.batch(column)]
+        rows = [(len(ids), sha(digits), sha(decoded)) for ids, digits, decoded in bpe.batch(column)]
         return [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

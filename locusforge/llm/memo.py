@@ -43,36 +43,42 @@ class Memo(dict):
 
 
 class Numbers:
-    """Numbers 0, 1, 2 ... for 64-bit keys in order of arrival. A large index and a small one of the latest keys, so that an arrival seldom rebuilds the large one."""
+    """Numbers 0, 1, 2 ... for 64-bit keys in order of arrival. A large sorted table and a small one of the latest keys, so that an arrival seldom rebuilds the large one."""
 
     def __init__(self):
-        import pandas as pd  # here alone: every worker that imports it holds some 50 MB more
-
-        self.index = pd.Index
-        self.keys = np.zeros(0, np.int64)
-        self.large = self.small = self.index(self.keys)
+        self.large = self.small = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return len(self.large[0]) + len(self.small[0])
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        known, number = table
+        if not len(known):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, number[at], -1).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key (all different), -1 where there is none."""
-        at = self.large.get_indexer(keys)
-        if len(self.small):
-            rest = np.flatnonzero(at < 0)
-            late = self.small.get_indexer(keys[rest])
-            at[rest[late >= 0]] = late[late >= 0] + len(self.large)
+        """The number of each key (all different; sorted keys are the fastest), -1 where there is none."""
+        at = self._look(self.large, keys)
+        rest = np.flatnonzero(at < 0)
+        at[rest] = self._look(self.small, keys[rest])
         return at
 
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, number = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], number[order]
+
     def add(self, keys: np.ndarray) -> np.ndarray:
         """Numbers for keys that have none."""
-        n = len(self.keys)
-        self.keys = np.concatenate([self.keys, keys])
-        if 4 * (len(self.keys) - len(self.large)) > len(self.large):
-            self.large, self.small = self.index(self.keys), self.index(self.keys[:0])
-        else:
-            self.small = self.index(self.keys[len(self.large) :])
-        return np.arange(n, len(self.keys))
+        made = np.arange(len(self), len(self) + len(keys))
+        self.small = self._merged(self.small, (keys, made.astype(np.int32)))
+        if 4 * len(self.small[0]) > len(self.large[0]):
+            self.large, self.small = self._merged(self.large, self.small), (keys[:0], made[:0].astype(np.int32))
+        return made
 
 
 class Flat:
@@ -96,4 +102,7 @@ class Flat:
         """(the rows `which`, end to end; where each begins, and the end)."""
         n = self.size[which]
         total = np.concatenate([[0], np.cumsum(n)])
-        return self.data[np.repeat(self.begin[which] - total[:-1], n) + np.arange(total[-1])], total
+        kind = np.int32 if self.used + total[-1] < 1 << 31 else np.int64  # places: the largest arrays here
+        at = np.repeat((self.begin[which] - total[:-1]).astype(kind), n)
+        at += np.arange(total[-1], dtype=kind)
+        return self.data[at], total

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 from locusforge.llm import bpe, pieces, sstable, toxicity
 from locusforge.llm import textarrays as ta
-from locusforge.llm.memo import Memo
+from locusforge.llm.memo import Memo, Numbers
 
 ALPHA = "abAB  \n\t.,!?'09éÉßλЖ中 \u0085😀"
 
@@ -60,10 +60,32 @@ def test_bpe_equals_the_library(alpha, k):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, library = bpe.load(path), Tokenizer.from_file(path)
     texts = some_texts(1500, k, 2, alpha) + ["<|endoftext|>", "a<|startoftext|>b <|endoftext|>'s", "it's WE'LL '' 'x", "Ünï" * 3000]
-    for t, (ids, decoded, n) in zip(texts, own.batch(pa.array(texts)), strict=True):
+    for t, (ids, digits, decoded) in zip(texts, own.batch(pa.array(texts)), strict=True):
         want = library.encode(t or "", add_special_tokens=False).ids
-        assert own.encode(t) == want and ids == " ".join(map(str, want)) and n == len(want)
-        assert decoded == own.decode(want) == library.decode(want, skip_special_tokens=False)
+        assert own.encode(t) == want == ids.tolist() and digits.decode() == " ".join(map(str, want))
+        assert decoded.decode() == own.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_numbers_of_keys():
+    r, n, of = np.random.default_rng(3), Numbers(), {}
+    for _ in range(40):
+        keys = np.unique(r.integers(-(1 << 63), 1 << 63, 300) >> r.integers(40, 58))
+        at = n.find(keys)
+        assert at.tolist() == [of.get(k, -1) for k in keys.tolist()]
+        new = r.permutation(keys[at < 0])
+        of |= zip(new.tolist(), n.add(new).tolist(), strict=True)
+        assert sorted(of.values()) == list(range(len(n)))
+
+
+def test_a_full_memory_begins_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 10)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = bpe.WordBPE(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    for seed in range(6):
+        texts = some_texts(40, 30, seed, "aeinorst  éÉ")
+        for t, ids in zip(texts, own.arrays(pa.array(texts)), strict=True):
+            assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("alpha,k", [("abAB's tTrevmdlL  \n\t'.,!?0123éÉÀßüЖ", 40), (ALPHA + "Σ½²字​\x1c\x0b ́÷×<|>ʰ҂", 30)])
