@@ -6,6 +6,7 @@ power at its start (the base is odd, so it has an inverse), then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ import pyarrow.compute as pc
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
+_libc = ctypes.CDLL(None)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -57,17 +59,25 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[raw], offs - offs[0]
 
 
+def trim() -> None:
+    """Free pages of the heap go back to the system, where the C library can do that."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about CHUNK_BYTES of text, so that memory follows the longest text and not the batch."""
+    """Slices of a batch of about CHUNK_BYTES of text, so that memory follows the longest text and not the batch. After each, what the arrays of the last slice held goes back to the system: workers stay for the stages that follow."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
     begin = held = 0
     for i, n in enumerate(sizes):
         if i > begin and held + n > CHUNK_BYTES:
             yield batch.slice(begin, i - begin)
+            trim()
             begin, held = i, 0
         held += int(n)
     if begin < len(sizes):
         yield batch.slice(begin)
+        trim()
 
 
 def spans(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
