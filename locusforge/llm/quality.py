@@ -58,12 +58,12 @@ class Net:
         self.base = np.zeros(1, np.float32)
 
     def pooled(self, rows: np.ndarray, where: bool = False):
-        """Per chunk and filter the greatest response; with where, also the window that made it. A phase is a reshape, not a copy; of the windows of a row the last reaches into the next row and isn't looked at."""
+        """Per chunk and filter the greatest response; with where, also the window that made it. A phase is a reshape, not a copy; a product for each row, all of one shape, so that a row's result doesn't depend on the others; of the windows of a row the last reaches into the next row and isn't looked at."""
         n = len(rows)
         x = self.vectors[np.append(rows.ravel(), np.zeros(WIDTH, np.uint8))]
         best = at = None
         for phase in range(WIDTH):
-            out = (x[phase : phase + n * STRIDE].reshape(-1, WIDTH * VECTOR) @ self.kernel).reshape(n, STRIDE // WIDTH, FILTERS)[:, : CHUNK // WIDTH]
+            out = (x[phase : phase + n * STRIDE].reshape(n, STRIDE // WIDTH, WIDTH * VECTOR) @ self.kernel)[:, : CHUNK // WIDTH]
             if where:
                 i = out.argmax(axis=1)
                 top = np.take_along_axis(out, i[:, None], 1)[:, 0]
@@ -75,8 +75,9 @@ class Net:
         return (best + self.shift, at) if where else best + self.shift
 
     def _top(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.maximum(a @ self.inner + self.inner_shift, 0)
-        return h, h @ self.weights + self.base
+        # sums of each row alone: a matrix product may round a row otherwise in another place or number of rows
+        h = np.maximum((a[:, :, None] * self.inner).sum(axis=1) + self.inner_shift, 0)
+        return h, (h * self.weights).sum(axis=1) + self.base
 
     def logits(self, blobs: list[bytes]) -> np.ndarray:
         rows, first = layout(blobs)
