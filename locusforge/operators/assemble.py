@@ -1,9 +1,10 @@
 """Assembly of loci from a contig's motifs.
 
 Seeds are found by windows. Merging and elongation depend on what was merged and used before, so they run as a Python
-fold, but not on whole contigs: motifs further apart than any distance of the rules can't influence each other, so the
-contig is cut there into islands, and only islands with a seed go to Python. Where a contig holds a (motif, start) on
-both strands - the rules compare these two alone - the whole contig is one island.
+fold, but not on whole contigs: only motifs in reach of a seed go to Python, and those of seeds whose reaches overlap
+form an island (near_islands). Small contigs whose motifs are dear to make twice are cut where neighbours are further
+apart than any distance of the rules (far_islands); there a (motif, start) on both strands - the rules compare these two
+alone - makes the whole contig one island.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusforge import rules
 from locusforge.functions import loci as fn
-from locusforge.operators.motifs import by_contig, with_seeds
+from locusforge.operators.motifs import TURN, by_contig, mark_seeds, order_columns, seed_rows, with_turns
 from locusforge.schemas import LOCUS_MOTIF
 
+#: Bases of a tile in which motifs meet the spans of islands.
+SPAN = 1 << 16
+
 
 @dataclass(frozen=True)
 class AssembleParams:
@@ -35,8 +39,9 @@ class Island:
 
     def __init__(self, ids: list[int], starts: list[int], reverse: list[bool], stops: list[bool]):
         self.ids, self.starts, self.reverse, self.stops = ids, starts, reverse, stops
-        self.rank = [rules.RANK[i] for i in ids]
+        self.rank = [rules.RANK.get(i, 0) for i in ids]
         self.key = list(zip(ids, starts, strict=True))
+        self.first = {k: i for i, k in reversed(list(enumerate(self.key)))}
 
     def place(self, i: int) -> tuple[bool, int]:
         return self.reverse[i], -self.starts[i] if self.reverse[i] else self.starts[i]
@@ -76,7 +81,7 @@ class Island:
         for locus in loci:
             if any(self.key[i] in used for i in locus):
                 continue
-            anchor = self.key.index(self.key[locus[0]])
+            anchor = self.first[self.key[locus[0]]]
             for i in range(anchor - 1, -1, -1):
                 head = locus[0]
                 if self.distance(head, i) > reach:
@@ -99,41 +104,117 @@ class Island:
         return [self.ordered(x) for x in sorted(loci, key=self.locus_place)]
 
 
-def islands(motifs: DataFrame, params: AssembleParams) -> DataFrame:
-    """Adds seed_length, at (place in the contig) and island; keeps the islands that hold a seed."""
+def far_islands(motifs: DataFrame, params: AssembleParams) -> DataFrame:
+    """Adds fore, back and island: contigs cut where neighbours are far apart. For contigs small enough for one task; the motifs are made only once."""
     w = by_contig()
     far = max(params.within, params.elongate, params.between)
     gap = F.abs(F.col("dna_start") - F.lag("dna_start").over(w)) > far
-    rows = with_seeds(motifs, params.within).withColumns({"at": F.row_number().over(w), "__cut": F.coalesce(gap, F.lit(False)).cast("int")})
+    rows = mark_seeds(with_turns(motifs, whole=True), w, params.within).withColumns({"at": F.row_number().over(w), "__cut": F.coalesce(gap, F.lit(False)).cast("int")})
     both = Window.partitionBy("contig_id", "motif_id", "dna_start")
     rows = rows.withColumn("__both", (F.min("strand").over(both) != F.max("strand").over(both)).cast("int")).withColumn("__whole", F.max("__both").over(Window.partitionBy("contig_id")))
-    rows = rows.withColumn("island", F.when(F.col("__whole") == 1, 0).otherwise(F.sum("__cut").over(Window.partitionBy("contig_id").orderBy("at"))))
+    rows = rows.withColumn("island", F.when(F.col("__whole") == 1, 0).otherwise(F.sum("__cut").over(Window.partitionBy("contig_id").orderBy("at"))).cast("bigint"))
     seeded = F.max("seed_length").over(Window.partitionBy("contig_id", "island"))
-    return rows.withColumn("__seeded", seeded).filter("__seeded > 0").drop("__cut", "__both", "__whole", "__seeded")
+    return rows.withColumn("__seeded", seeded).filter("__seeded > 0")
 
 
-_PIECE = f"contig_id string, first_at bigint, piece int, motifs array<{LOCUS_MOTIF}>"
+def _united(table: DataFrame, pad: int) -> DataFrame:
+    """Spans (contig_id, lo, hi, seeds) that overlap become one, which is widened by pad; only those with seeds stay."""
+    w = Window.partitionBy("contig_id").orderBy("lo", "hi")
+    cut = F.coalesce(F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    rows = table.withColumn("__cut", cut.cast("int")).withColumn("n", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = rows.groupBy("contig_id", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("seeds").alias("seeds")).filter("seeds > 0")
+    return spans.select("contig_id", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"), "seeds")
 
 
-def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams()) -> DataFrame:  # noqa: B008
-    """motifs -> loci(name, contig_id, locus_no, strand, start_pos, end_pos, domains, motif_list, is_complete, has_stop, motifs). The motifs go through the fold, so that the table is read once."""
-    rows = islands(motifs, params)
+def reaches(motifs: DataFrame, params: AssembleParams, table: DataFrame | None) -> DataFrame:
+    """(contig_id, lo, hi): disjoint spans, on both strands alike, outside which no locus takes, tests or blocks a motif.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        at = group["at"].tolist()
-        island = Island(group["motif_id"].tolist(), group["dna_start"].tolist(), (group["strand"] == "-").tolist(), group["protein_sequence"].str.contains("*", regex=False).fillna(False).tolist())
-        seeds = [list(range(i, i + n)) for i, n in enumerate(group["seed_length"].tolist()) if n]
-        shown = group[["motif_id", "protein_sequence", "pvalue", "dna_start", "dna_end", "strand"]].to_dict("records")
-        out = []
-        for n, locus in enumerate(island.assemble(seeds, params)):
-            if not params.keep_duplicates:
-                locus = list(dict.fromkeys(locus))
-            out.append((group["contig_id"].iloc[0], at[locus[0]], n, [shown[i] for i in locus]))
-        return pd.DataFrame(out, columns=["contig_id", "first_at", "piece", "motifs"])
-
-    slim = rows.select("contig_id", "island", "at", "motif_id", "protein_sequence", "pvalue", "dna_start", "dna_end", "strand", "seed_length")
-    return name_loci(slim.groupBy("contig_id", "island").applyInPandas(fold, _PIECE))
+    A locus grows by steps of at most `elongate`, to ranks that fall on the left and rise on the right, so its seed's
+    ranks bound the steps; only repeats may go on at one rank, as far as repeats without a stop follow each other. The
+    last step is the one past the repeats. Seeds merge within `between`. As spans hold both strands of their places, equal
+    (motif, start) on two strands, which block or lead each other, lie in one span.
+    """
+    step, lrr = params.elongate, max(rules.RANK[i] for i in rules.LRR)
+    steps = F.greatest(rules.lookup(rules.RANK, F.col("motif_id")) - 1, lrr - rules.lookup(rules.RANK, F.col("last_id")), F.lit(1))
+    by = F.greatest(steps * step, F.lit(params.between))
+    seeds = seed_rows(motifs, params.within, table).filter("seed_length > 0").select("contig_id", (F.col("reach_lo") - by).alias("lo"), (F.col("reach_hi") + by).alias("hi"), F.lit(1).alias("seeds"))
+    # repeats that share a bin of one step follow each other
+    repeats = motifs.filter(F.col("motif_id").isin(*rules.LRR) & ~F.coalesce(F.contains("protein_sequence", F.lit("*")), F.lit(False)))
+    repeats = repeats.groupBy("contig_id", F.floor(F.col("dna_start") / max(step, 1))).agg(F.min("dna_start").alias("lo"), (F.max("dna_start") + step).alias("hi")).select("contig_id", "lo", "hi", F.lit(0).alias("seeds"))
+    return _united(_united(seeds.unionByName(repeats), step), 0)
+
+
+def near_islands(motifs: DataFrame, params: AssembleParams, table: DataFrame | None) -> DataFrame:
+    """Adds fore, back and island, and keeps the motifs in reach of a seed."""
+    spans = reaches(motifs, params, table).select(F.col("contig_id").alias("__contig"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / SPAN), F.floor(F.col("hi") / SPAN))).alias("__tile"))
+    rows = with_turns(motifs, table).withColumn("__at", F.floor(F.col("dna_start") / SPAN))
+    here = (F.col("contig_id") == F.col("__contig")) & (F.col("__at") == F.col("__tile")) & F.col("dna_start").between(F.col("lo"), F.col("hi"))
+    return rows.join(spans, here).withColumn("island", F.col("lo"))
+
+
+_PIECE = f"contig_id string, first_at bigint, piece int, motifs array<{LOCUS_MOTIF}>"
+_KINDS = {"motif_id": pa.int32(), "protein_sequence": pa.string(), "pvalue": pa.float64(), "dna_start": pa.int64(), "dna_end": pa.int64(), "strand": pa.string()}
+
+
+def fold_island(rows: list[tuple], params: AssembleParams) -> Iterator[list[int]]:
+    """Loci of an island's (motif, start, reverse, stop, fore, back), in order. Between strands that don't meet at the contig's turn stands a motif that nothing can pass."""
+    turn = next((i for i, r in enumerate(rows) if r[2]), len(rows))
+    met = turn in (0, len(rows)) or (rows[turn - 1][1], rows[turn][1]) == (rows[0][4], rows[0][5])
+    shown = [r[:4] for r in rows]
+    if not met:
+        shown.insert(turn, (0, 1 << 62, False, True))
+    for locus in fold_contig([(m, s, "-" if back else "+", stop) for m, s, back, stop in shown], params):
+        if not params.keep_duplicates:
+            locus = list(dict.fromkeys(locus))
+        yield locus if met else [i - (i > turn) for i in locus]
+
+
+def fold_sorted(params: AssembleParams):
+    """Sorted rows -> loci, an island at a time: a task holds one island and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                for n, locus in enumerate(fold_island([(r[0], r[3], r[5] == "-", "*" in (r[1] or ""), r[6], r[7]) for r in held], params)):
+                    out.append((key[0], locus[0], n, [dict(zip(_KINDS, held[i], strict=False)) for i in locus]))
+
+        def flush() -> pa.RecordBatch:
+            item = pa.list_(pa.struct(list(_KINDS.items())))
+            columns = zip(*out, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), item), strict=True)], ["contig_id", "first_at", "piece", "motifs"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*_KINDS, "fore", "back")]
+            for where, row in zip(zip(batch.column("contig_id").to_pylist(), batch.column("island").to_pylist(), strict=True), zip(*columns, strict=True), strict=True):
+                if where != key:
+                    close()
+                    held, key = [], where
+                    if len(out) >= 1000:
+                        yield flush()
+                held.append(row)
+        close()
+        if out:
+            yield flush()
+
+    return run
+
+
+def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams(), table: DataFrame | None = None, whole: bool = False) -> DataFrame:  # noqa: B008
+    """motifs -> loci(name, contig_id, locus_no, strand, start_pos, end_pos, domains, motif_list, is_complete, has_stop, motifs).
+
+    The motifs are read several times, by tiles, unless `whole`: then once, a contig's in one task. `table`: their turns, if known.
+    """
+    whole = whole or max(params.within, 2 * params.elongate) > TURN
+    rows = far_islands(motifs, params) if whole else near_islands(motifs, params, table)
+    slim = rows.select("contig_id", "island", *_KINDS, "fore", "back", *[k.alias(f"k{i}") for i, k in enumerate(order_columns())])
+    placed = slim.repartition("contig_id", "island").sortWithinPartitions("contig_id", "island", *[f"k{i}" for i in range(len(order_columns()))])
+    return name_loci(placed.select("contig_id", "island", *_KINDS, "fore", "back").mapInArrow(fold_sorted(params), _PIECE))
 
 
 def name_loci(loci: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from locusforge import rules
 
+#: Bases of a tile, the unit in which long contigs are dealt over tasks; strands that end further apart than TURN never meet in a rule.
+TILE, TURN = 1 << 20, 50_000
+
 
 def order_columns() -> list[Column]:
     """The order of a contig's motifs: forward first and ascending, reverse descending; then the fragment; then the frame and motif, so that the order is total."""
@@ -20,17 +23,61 @@ def by_contig() -> Window:
 
 
 def rank_motifs(motifs: DataFrame) -> DataFrame:
-    return motifs.withColumn("motif_rank", F.row_number().over(by_contig()).cast("bigint"))
+    """Numbers of a tile's motifs, and the motifs of the tiles before it: no task holds a contig."""
+    along = F.when(F.col("strand") == "-", -F.col("dna_start")).otherwise(F.col("dna_start"))
+    # keys without nulls, so that the join and the window are dealt alike; nulls come first, as in the order
+    side = F.coalesce((F.col("strand") == "-").cast("int"), F.lit(-1)) + F.when(F.col("contig_id").isNull(), 3).otherwise(0)
+    key = ["__contig", "__side", "__tile"]
+    rows = motifs.withColumns({"__contig": F.coalesce("contig_id", F.lit("")), "__side": side, "__tile": F.coalesce(F.floor(along / TILE), F.lit(-(2**62)))})
+    w = Window.partitionBy("__contig", F.col("__side") > 2).orderBy("__side", "__tile").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).select(*key, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order_columns()))
+    return rows.join(before, key).withColumn("motif_rank", (place + F.col("__before")).cast("bigint")).drop(*key, "__before")
+
+
+def _ends() -> tuple[Column, Column, Column]:
+    """The greatest start on each strand, and whether a reverse motif without a start stands between them."""
+    back = F.coalesce(F.col("strand") == "-", F.lit(False))
+    return F.max(F.when(~back, F.col("dna_start"))), F.max(F.when(back, F.col("dna_start"))), F.max(back & F.col("dna_start").isNull())
+
+
+def turns(motifs: DataFrame) -> DataFrame:
+    """(contig_id, fore, back) of contigs whose last forward and first reverse motif lie near: only there do rules look across the strands."""
+    fore, back, none = _ends()
+    ends = motifs.groupBy("contig_id").agg(fore.alias("fore"), back.alias("back"), none.alias("none"))
+    return ends.filter(f"NOT none AND abs(fore - back) <= {TURN}").drop("none")
+
+
+def with_turns(motifs: DataFrame, table: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Adds fore and back. `whole`: by windows over contigs, for tables whose rows are dear to make twice and whose contigs are small."""
+    if whole:
+        w = Window.partitionBy("contig_id")
+        fore, back, none = (c.over(w) for c in _ends())
+        return motifs.withColumns({"fore": fore, "back": F.when(~none, back)})
+    t = (turns(motifs) if table is None else table).withColumnRenamed("contig_id", "__contig")
+    return motifs.join(F.broadcast(t), F.col("contig_id").eqNullSafe(F.col("__contig")), "left").drop("__contig")
+
+
+def dedup_adjacent(motifs: DataFrame, table: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Of a run of r neighbours with equal motif and start, the 1st, 3rd, 5th ... stay: ceil(r / 2).
+
+    A run lies within one start of one strand, but for the turn of a contig, if its last forward and its first reverse
+    motif start together; so windows are over starts, not over contigs.
+    """
+    at_turn = F.coalesce((F.col("dna_start") == F.col("fore")) & (F.col("dna_start") == F.col("back")), F.lit(False))
+    rows = with_turns(motifs, table, whole).withColumn("__side", F.when(at_turn, 2).otherwise((F.col("strand") == "-").cast("int")))
+    w = Window.partitionBy("contig_id", "dna_start", "__side").orderBy(*order_columns())
+    same = (F.lag("motif_id").over(w) == F.col("motif_id")) & (F.lag("dna_start").over(w) == F.col("dna_start"))
+    runs = rows.withColumns({"__at": F.row_number().over(w), "__new": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.row_number().over(w))})
+    runs = runs.withColumn("__run", F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.filter("(__at - __run) % 2 = 0").drop("fore", "back", "__side", "__at", "__new", "__run")
 
 
-def dedup_adjacent(motifs: DataFrame) -> DataFrame:
-    """Of a run of r neighbours with equal motif and start, the 1st, 3rd, 5th ... stay: ceil(r / 2)."""
-    w = by_contig()
-    same = (F.lag("motif_id").over(w) == F.col("motif_id")) & (F.lag("dna_start").over(w) == F.col("dna_start"))
-    runs = motifs.withColumns({"__at": F.row_number().over(w), "__new": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)})
-    runs = runs.withColumn("__run", F.sum("__new").over(Window.partitionBy("contig_id").orderBy("__at")))
-    place = F.row_number().over(Window.partitionBy("contig_id", "__run").orderBy("__at"))
-    return runs.withColumn("__odd", place % 2 == 1).filter("__odd").drop("__at", "__new", "__run", "__odd")
+def deduped(motifs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """dedup_adjacent, and the turns of its result: found from the motifs near the raw turns alone, as dedup drops nothing else there."""
+    raw = turns(motifs)
+    near = with_turns(motifs, raw).filter(f"dna_start >= least(fore, back) - {TURN}").drop("fore", "back")
+    return dedup_adjacent(motifs, raw), turns(dedup_adjacent(near, raw))
 
 
 def dedup_exact(motifs: DataFrame) -> DataFrame:
@@ -60,11 +107,34 @@ def signature_filter(hits: DataFrame, group: list[str], order: list[Column]) ->
     return hits.withColumn("__hit", hit.cast("int")).withColumn("__any", F.max("__hit").over(Window.partitionBy(*group))).filter("__any = 1").drop("__hit", "__any")
 
 
-def with_seeds(motifs: DataFrame, within: int = 500) -> DataFrame:
-    """Adds seed_length: 2 or 3 where a seed begins, else 0. A walk right by steps of at most `within` stops at the first seed it spells, so a pair wins over a triple."""
-    w = by_contig()
-    gap1 = F.abs(F.lead("dna_start", 1).over(w) - F.col("dna_start")) <= within
-    gap2 = F.abs(F.lead("dna_start", 2).over(w) - F.lead("dna_start", 1).over(w)) <= within
+def mark_seeds(rows: DataFrame, w: Window, within: int) -> DataFrame:
+    """Adds seed_length (and reach_lo, reach_hi: the seed's least and greatest start), given fore and back; the strands meet only at the turn."""
+    start, back = F.col("dna_start"), F.coalesce(F.col("strand") == "-", F.lit(False))
+    s1, s2 = F.lead("dna_start", 1).over(w), F.lead("dna_start", 2).over(w)
+    b1, b2 = F.lead(back, 1).over(w), F.lead(back, 2).over(w)
+    met = lambda s, t, b, c: (b == c) | (s == F.col("fore")) & (t == F.col("back"))
+    gap1 = (F.abs(s1 - start) <= within) & met(start, s1, back, b1)
+    gap2 = (F.abs(s2 - s1) <= within) & met(s1, s2, b1, b2)
     pair = _follows(w, tuple(s for s in rules.SEEDS if len(s) == 2)) & gap1
     triple = _follows(w, tuple(s for s in rules.SEEDS if len(s) == 3)) & gap1 & gap2
-    return motifs.withColumn("seed_length", F.when(F.coalesce(pair, F.lit(False)), 2).when(F.coalesce(triple, F.lit(False)), 3).otherwise(0))
+    length = F.when(F.coalesce(pair, F.lit(False)), 2).when(F.coalesce(triple, F.lit(False)), 3).otherwise(0)
+    third = F.when(F.col("seed_length") == 3, F.col("__s2"))
+    last = F.when(F.col("seed_length") == 3, F.col("__m2")).when(F.col("seed_length") == 2, F.col("__m1"))
+    out = rows.withColumns({"seed_length": length, "__s1": s1, "__s2": s2, "__m1": F.lead("motif_id", 1).over(w), "__m2": F.lead("motif_id", 2).over(w)})
+    return out.withColumns({"reach_lo": F.least("dna_start", "__s1", third), "reach_hi": F.greatest("dna_start", "__s1", third), "last_id": last}).drop("__s1", "__s2", "__m1", "__m2")
+
+
+def seed_rows(motifs: DataFrame, within: int = 500, table: DataFrame | None = None) -> DataFrame:
+    """with_seeds, and the seeds' ends. Motifs are dealt by tiles of a contig, each with those near its edges, so that the next two motifs that matter are at hand."""
+    if within > TURN:
+        return mark_seeds(with_turns(motifs, whole=True), by_contig(), within).drop("fore", "back")
+    size, halo = max(TILE, 8 * within), 2 * within
+    tile = lambda by: F.floor((F.col("dna_start") + by) / size)
+    rows = with_turns(motifs, table).withColumn("__own", tile(0)).withColumn("__tile", F.explode(F.array_distinct(F.array(tile(0), tile(-halo), tile(halo)))))
+    out = mark_seeds(rows, Window.partitionBy("contig_id", "__tile").orderBy(*order_columns()), within)
+    return out.filter("__tile <=> __own").drop("__tile", "__own", "fore", "back")
+
+
+def with_seeds(motifs: DataFrame, within: int = 500, table: DataFrame | None = None) -> DataFrame:
+    """Adds seed_length: 2 or 3 where a seed begins, else 0. A walk right by steps of at most `within` stops at the first seed it spells, so a pair wins over a triple. `table`: the motifs' turns, if known."""
+    return seed_rows(motifs, within, table).drop("reach_lo", "reach_hi", "last_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from locusforge.operators.assemble import AssembleParams, assemble
 from locusforge.operators.fragments import chop
-from locusforge.operators.motifs import dedup_adjacent
+from locusforge.operators.motifs import dedup_adjacent, deduped
 from locusforge.operators.scan import scan_fragments
 from locusforge.schemas import MOTIF
 from locusforge.sources.config import Motifs, as_text, synthetic
@@ -42,7 +42,7 @@ def scan(fragments: DataFrame, motifs: Motifs, params: Params) -> DataFrame:
     """Fragments -> deduplicated motifs with coordinates. Dealing by fragment, not by contig, evens out chromosomes of different size."""
     if params.spread:
         fragments = fragments.repartition(params.spread, "contig_id", "frag_offset")
-    return dedup_adjacent(scan_fragments(fragments, motifs))
+    return dedup_adjacent(scan_fragments(fragments, motifs), whole=True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -62,7 +62,7 @@ def annotate(fragments: DataFrame, motifs: Motifs | None = None, params: Params
         table = spark.read.schema(MOTIF).parquet(path)
     else:
         table = scan(fragments, motifs, params)
-    return Result(table, assemble(table, params.assemble))
+    return Result(table, assemble(table, params.assemble, whole=not params.checkpoint))
 
 
 def annotate_contigs(contigs: DataFrame, motifs: Motifs | None = None, params: Params = Params(), source: str = "") -> Result:  # noqa: B008
@@ -71,5 +71,5 @@ def annotate_contigs(contigs: DataFrame, motifs: Motifs | None = None, params: P
 
 def resume(motif_table: DataFrame, params: AssembleParams = AssembleParams()) -> Result:  # noqa: B008
     """From an imported motif table: order, dedup, assembly."""
-    table = dedup_adjacent(motif_table.filter(F.col("contig_id").isNotNull()))
-    return Result(table, assemble(table, params))
+    table, turns = deduped(motif_table.filter(F.col("contig_id").isNotNull()))
+    return Result(table, assemble(table, params, turns))

@@ -172,11 +172,13 @@ def q_dedup_exact(spark, sf_dir):
 
 
 def q_find_seeds(spark, sf_dir):
-    return motifs.with_seeds(motifs.dedup_adjacent(hits(spark, sf_dir))).filter("seed_length > 0").select("contig_id", "strand", "dna_start", "motif_id", "seed_length")
+    kept, table = motifs.deduped(hits(spark, sf_dir))
+    return motifs.with_seeds(kept, table=table).filter("seed_length > 0").select("contig_id", "strand", "dna_start", "motif_id", "seed_length")
 
 
 def q_assemble_loci(spark, sf_dir):
-    return asm.assemble(motifs.dedup_adjacent(hits(spark, sf_dir))).drop("motifs")
+    kept, table = motifs.deduped(hits(spark, sf_dir))
+    return asm.assemble(kept, table=table).drop("motifs")
 
 
 def q_locus_domains(spark, sf_dir):
