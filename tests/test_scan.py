@@ -104,3 +104,22 @@ def test_config(spark, tmp_path):
     (tmp_path / "z.txt").write_text("motif_21@0@A 1\n")
     with pytest.raises(ValueError):
         config.load(spark, str(tmp_path / "z.txt"))
+
+
+def test_packed_scores_are_those_of_each_motif():
+    """Four motifs share a look-up: negative and very large scores, blocks' edges and few tables."""
+    r = np.random.default_rng(4)
+    own = config.synthetic()
+    pwm = {i: r.integers(-9000, 9000, m.shape) if i % 5 == 0 else r.integers(-40, 60, m.shape) for i, m in own.pwm.items()}
+    s = scan.Scanner(config.Motifs(own.order, pwm, own.cdf))
+    s.first = {i: 20_000 if i % 5 == 0 else 250 for i in own.order}
+    text = r.integers(0, 27, 2 * scan.BLOCK + 77).astype(np.uint8)
+    n = len(text) - s.reach
+    got = {i: {} for i in own.order}
+    for i, places, scores in s.over(np.append(text, np.zeros(3 * s.reach + 3, np.uint8)), n):
+        got[i].update(zip(places.tolist(), scores.tolist(), strict=True))
+    for i, m in pwm.items():
+        full = np.vstack([m, np.zeros((1, m.shape[1]), np.int64)])
+        total = sum(full[text[j : j + n], j] for j in range(m.shape[1]))
+        assert got[i] == {q: total[q] for q in np.flatnonzero(total >= s.first[i]).tolist()}
+    assert s.alone and sum(len(t) for t, _ in s.packs) + len(s.alone) * 17 < sum(map(len, s.tables.values()))
