@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.functions.sequence import fragment_of
@@ -14,10 +14,16 @@ _NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|in
 LINE = rf"^(?:motif_)*\+?\d{{1,3}}\t{_ANY}\t{_COUNT}\t{_ANY}\t{_NUMBER}\t{_NUMBER}(?:(?:\t{_ANY}){{0,4}}|\t(?:\t{_ANY}){{4,}}|\t[^\t]+\t{_COUNT}\t{_COUNT}\t{_ANY}\t\+?\d{{1,3}}(?:\t{_ANY})*)$"
 
 
+def _once(column: Column) -> Column:
+    """The column, as a generator's: the optimizer neither copies its expression into each use nor into filters pushed below."""
+    return F.explode(F.array(column))
+
+
 def parse_motifs(lines: DataFrame) -> DataFrame:
     """lines(value) -> motifs. A line needs 6 columns with good numbers; with 11 columns and a contig the DNA side must be good too; other lines are dropped."""
     c = lambda i: F.get(F.col("c"), F.lit(i))
-    rows = lines.filter(F.col("value").rlike(LINE)).select(F.split("value", "\t", -1).alias("c"), F.expr("size(split(value, '\t', -1)) >= 11 AND get(split(value, '\t', -1), 6) <> ''").alias("dna"))
+    good = lines.select(_once(F.col("value")).alias("value")).filter(F.col("value").rlike(LINE))
+    rows = good.select(_once(F.split("value", "\t", -1)).alias("c")).withColumn("dna", (F.size("c") >= 11) & (c(6) != ""))
     dna = lambda i, kind: F.when(F.col("dna"), c(i).cast(kind))
     _, offset = fragment_of(c(1))
     out = rows.select(

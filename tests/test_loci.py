@@ -161,3 +161,11 @@ def test_bad_motif_lines(spark):
     lines = [good, "motif_1\tx\t3\tAC\t1E-6", "motif_x" + good[7:], good.replace("\t3\t", "\tq\t"), "motif_1\tx_7_frame-1\t3\tAC\t0.5\t1\t\t\t\t\t", good.replace("\t4\t", "\tz\t"), "", "motif_1\tx\t3\tAC\t.5\t1"]
     got = parse_motifs(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [(r.contig_id, r.strand, r.frame, r.frag_offset) for r in got] == [("x", "-", 2, 0), (None, "+", 0, 7), (None, "+", 0, 0)]
+
+
+def test_import_makes_each_line_once(spark):
+    """The plan holds the expression of a line once, however often the import looks at it."""
+    count = lambda df, word: df._jdf.queryExecution().optimizedPlan().toString().count(word)
+    lines = outputs.motif_tsv_lines(spark.createDataFrame(rows([(1, 100), (6, 200)]), MOTIF)).select(F.col("line").alias("value"))
+    table = parse_motifs(lines)
+    assert count(table, "concat_ws(") == count(lines, "concat_ws(") and count(table, "split(") == 1 and table.count() == 2
