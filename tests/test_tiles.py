@@ -82,3 +82,11 @@ def test_islands_stay_small(spark):
     kept, turns = mo.deduped(spark.createDataFrame(rows, MOTIF))
     sizes = [x["count"] for x in asm.near_islands(kept, asm.AssembleParams(), turns).groupBy("contig_id", "island").count().collect()]
     assert len(sizes) > 10 and max(sizes) < 10_000
+
+
+def test_islands_are_folded_as_a_stream(spark):
+    """No Python group an island: its cost was most of an annotation's time."""
+    df = table_of(spark, 9, contigs=2, length=10)
+    for whole in (False, True):
+        plan = asm.assemble(df, whole=whole)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan
