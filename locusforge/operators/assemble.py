@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from locusforge import rules
 from locusforge.functions import loci as fn
-from locusforge.operators.motifs import TURN, by_contig, mark_seeds, order_columns, seed_rows, with_turns
+from locusforge.operators.motifs import KEYS, TURN, by, dealt, keyed, mark_seeds, seed_rows, with_turns
 from locusforge.schemas import LOCUS_MOTIF
 
 #: Bases of a tile in which motifs meet the spans of islands.
@@ -106,15 +106,17 @@ class Island:
 
 def far_islands(motifs: DataFrame, params: AssembleParams) -> DataFrame:
     """Adds fore, back and island: contigs cut where neighbours are far apart. For contigs small enough for one task; the motifs are made only once."""
-    w = by_contig()
+    w = by("contig_id")
     far = max(params.within, params.elongate, params.between)
     gap = F.abs(F.col("dna_start") - F.lag("dna_start").over(w)) > far
-    rows = mark_seeds(with_turns(motifs, whole=True), w, params.within).withColumns({"at": F.row_number().over(w), "__cut": F.coalesce(gap, F.lit(False)).cast("int")})
     both = Window.partitionBy("contig_id", "motif_id", "dna_start")
-    rows = rows.withColumn("__both", (F.min("strand").over(both) != F.max("strand").over(both)).cast("int")).withColumn("__whole", F.max("__both").over(Window.partitionBy("contig_id")))
-    rows = rows.withColumn("island", F.when(F.col("__whole") == 1, 0).otherwise(F.sum("__cut").over(Window.partitionBy("contig_id").orderBy("at"))).cast("bigint"))
+    # the first sort serves the windows over contigs, the next one all windows in order
+    rows = keyed(motifs).withColumn("__both", (F.min("strand").over(both) != F.max("strand").over(both)).cast("int"))
+    rows = with_turns(rows.withColumn("__whole", F.max("__both").over(Window.partitionBy("contig_id"))), whole=True)
+    rows = mark_seeds(rows, w, params.within).withColumn("__cut", F.coalesce(gap, F.lit(False)).cast("int"))
+    rows = rows.withColumn("island", F.when(F.col("__whole") == 1, 0).otherwise(F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("bigint"))
     seeded = F.max("seed_length").over(Window.partitionBy("contig_id", "island"))
-    return rows.withColumn("__seeded", seeded).filter("__seeded > 0")
+    return rows.withColumn("__seeded", seeded).filter("__seeded > 0").drop("__minus", "__along")
 
 
 def _united(table: DataFrame, pad: int) -> DataFrame:
@@ -212,8 +214,8 @@ def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams(), table
     """
     whole = whole or max(params.within, 2 * params.elongate) > TURN
     rows = far_islands(motifs, params) if whole else near_islands(motifs, params, table)
-    slim = rows.select("contig_id", "island", *_KINDS, "fore", "back", *[k.alias(f"k{i}") for i, k in enumerate(order_columns())])
-    placed = slim.repartition("contig_id", "island").sortWithinPartitions("contig_id", "island", *[f"k{i}" for i in range(len(order_columns()))])
+    slim = keyed(rows).select("contig_id", "island", *dict.fromkeys((*_KINDS, "fore", "back", *KEYS)))
+    placed = slim.repartition("contig_id", "island").sortWithinPartitions("contig_id", "island", *KEYS)
     return name_loci(placed.select("contig_id", "island", *_KINDS, "fore", "back").mapInArrow(fold_sorted(params), _PIECE))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from locusforge import rules
 
-#: Bases of a tile, the unit in which long contigs are dealt over tasks; strands that end further apart than TURN never meet in a rule.
-TILE, TURN = 1 << 20, 50_000
+#: Bases of a tile, the unit in which long contigs are dealt over tasks (short enough for a window's rows to stay in its array, of 4,096 rows); strands that end further apart than TURN never meet in a rule.
+TILE, TURN = 1 << 18, 50_000
+#: Bytes of the greatest input that one task of a sort gets, about.
+SHARE = 1 << 22
 
 
 def order_columns() -> list[Column]:
@@ -18,21 +23,39 @@ def order_columns() -> list[Column]:
     return [F.col("strand") == "-", along, F.col("frag_offset"), F.col("frame"), F.col("motif_id"), F.col("protein_sequence"), F.col("pvalue")]
 
 
-def by_contig() -> Window:
-    return Window.partitionBy("contig_id").orderBy(*order_columns())
+KEYS = ("__minus", "__along", "frag_offset", "frame", "motif_id", "protein_sequence", "pvalue")
+
+
+def keyed(motifs: DataFrame) -> DataFrame:
+    """Adds the keys of the order that are no columns: windows share a sort only if its keys are columns."""
+    minus, along = order_columns()[:2]
+    return motifs.withColumns({"__minus": minus, "__along": along})
+
+
+def by(*parts: str) -> Window:
+    """Windows over keyed rows."""
+    return Window.partitionBy(*parts).orderBy(*KEYS)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over tasks that grow in number with the input, where the session's shuffle partitions are too few for it: a task's memory doesn't grow."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    n = max((x // SHARE for x in sizes if x < 1 << 50), default=0)  # greater: unknown
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def rank_motifs(motifs: DataFrame) -> DataFrame:
     """Numbers of a tile's motifs, and the motifs of the tiles before it: no task holds a contig."""
-    along = F.when(F.col("strand") == "-", -F.col("dna_start")).otherwise(F.col("dna_start"))
     # keys without nulls, so that the join and the window are dealt alike; nulls come first, as in the order
     side = F.coalesce((F.col("strand") == "-").cast("int"), F.lit(-1)) + F.when(F.col("contig_id").isNull(), 3).otherwise(0)
     key = ["__contig", "__side", "__tile"]
-    rows = motifs.withColumns({"__contig": F.coalesce("contig_id", F.lit("")), "__side": side, "__tile": F.coalesce(F.floor(along / TILE), F.lit(-(2**62)))})
+    rows = keyed(motifs).withColumns({"__contig": F.coalesce("contig_id", F.lit("")), "__side": side, "__tile": F.coalesce(F.floor(F.col("__along") / TILE), F.lit(-(2**62)))})
     w = Window.partitionBy("__contig", F.col("__side") > 2).orderBy("__side", "__tile").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).select(*key, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order_columns()))
-    return rows.join(before, key).withColumn("motif_rank", (place + F.col("__before")).cast("bigint")).drop(*key, "__before")
+    # a hashed join: a merge would sort the motifs once more
+    ranked = dealt(rows, *key).join(before.hint("shuffle_hash"), key).withColumn("__place", F.row_number().over(by(*key)))
+    return ranked.withColumn("motif_rank", (F.col("__place") + F.col("__before")).cast("bigint")).drop(*key, "__before", "__place", "__minus", "__along")
 
 
 def _ends() -> tuple[Column, Column, Column]:
@@ -62,15 +85,22 @@ def dedup_adjacent(motifs: DataFrame, table: DataFrame | None = None, whole: boo
     """Of a run of r neighbours with equal motif and start, the 1st, 3rd, 5th ... stay: ceil(r / 2).
 
     A run lies within one start of one strand, but for the turn of a contig, if its last forward and its first reverse
-    motif start together; so windows are over starts, not over contigs.
+    motif start together; so windows are over tiles, not over contigs.
     """
+    rows = keyed(motifs if whole else with_turns(motifs, table))
+    parts = ["contig_id"]
+    if not whole:
+        rows, parts = rows.withColumn("__tile", F.floor(F.col("dna_start") / TILE)), ["contig_id", "__tile"]
+        rows = dealt(rows, *parts)
+    w = by(*parts)
+    runs = rows.withColumns({"__at": F.row_number().over(w), "__id": F.lag("motif_id").over(w), "__start": F.lag("dna_start").over(w), "__was": F.lag("__minus").over(w)})
+    if whole:  # after the first window, whose sort serves this one too
+        runs = with_turns(runs, whole=True)
     at_turn = F.coalesce((F.col("dna_start") == F.col("fore")) & (F.col("dna_start") == F.col("back")), F.lit(False))
-    rows = with_turns(motifs, table, whole).withColumn("__side", F.when(at_turn, 2).otherwise((F.col("strand") == "-").cast("int")))
-    w = Window.partitionBy("contig_id", "dna_start", "__side").orderBy(*order_columns())
-    same = (F.lag("motif_id").over(w) == F.col("motif_id")) & (F.lag("dna_start").over(w) == F.col("dna_start"))
-    runs = rows.withColumns({"__at": F.row_number().over(w), "__new": F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.row_number().over(w))})
+    same = (F.col("__id") == F.col("motif_id")) & (F.col("__start") == F.col("dna_start")) & (at_turn | F.col("__was").eqNullSafe(F.col("__minus")))
+    runs = runs.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.col("__at")))
     runs = runs.withColumn("__run", F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.filter("(__at - __run) % 2 = 0").drop("fore", "back", "__side", "__at", "__new", "__run")
+    return runs.filter("(__at - __run) % 2 = 0").select(*motifs.columns)
 
 
 def deduped(motifs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,53 +116,48 @@ def dedup_exact(motifs: DataFrame) -> DataFrame:
     return motifs.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def _follows(w: Window, words: tuple, near: Column | None = None) -> Column:
-    """Whether this row and the next ones spell one of the words."""
-    ids = [F.col("motif_id"), F.lead("motif_id", 1).over(w), F.lead("motif_id", 2).over(w)]
-    tests = []
-    for word in words:
-        test = F.lit(True)
-        for x, c in zip(word, ids, strict=False):
-            test = test & (c == x)
-        tests.append(test)
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return F.coalesce(out, F.lit(False))
+def _spelled(words: tuple) -> Column:
+    """Whether motif_id, __m1 and __m2 spell one of the words."""
+    ids = [F.col("motif_id"), F.col("__m1"), F.col("__m2")]
+    tests = [reduce(and_, [c == x for x, c in zip(word, ids, strict=False)]) for word in words]
+    return F.coalesce(reduce(or_, tests), F.lit(False))
 
 
 def signature_filter(hits: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The hits of groups whose ordered motif ids hold a signature contiguously."""
-    hit = _follows(Window.partitionBy(*group).orderBy(*order), rules.SIGNATURES)
-    return hits.withColumn("__hit", hit.cast("int")).withColumn("__any", F.max("__hit").over(Window.partitionBy(*group))).filter("__any = 1").drop("__hit", "__any")
+    w = Window.partitionBy(*group).orderBy(*order)
+    ahead = hits.withColumns({"__m1": F.lead("motif_id", 1).over(w), "__m2": F.lead("motif_id", 2).over(w)})
+    rows = ahead.withColumn("__hit", _spelled(rules.SIGNATURES).cast("int")).withColumn("__any", F.max("__hit").over(Window.partitionBy(*group)))
+    return rows.filter("__any = 1").drop("__hit", "__any", "__m1", "__m2")
 
 
 def mark_seeds(rows: DataFrame, w: Window, within: int) -> DataFrame:
-    """Adds seed_length (and reach_lo, reach_hi: the seed's least and greatest start), given fore and back; the strands meet only at the turn."""
-    start, back = F.col("dna_start"), F.coalesce(F.col("strand") == "-", F.lit(False))
-    s1, s2 = F.lead("dna_start", 1).over(w), F.lead("dna_start", 2).over(w)
-    b1, b2 = F.lead(back, 1).over(w), F.lead(back, 2).over(w)
+    """Adds seed_length (and reach_lo, reach_hi: the seed's least and greatest start), given keyed rows, fore and back; the strands meet only at the turn."""
+    start, back = F.col("dna_start"), F.col("__back")
+    lead = {f"__{name}{n}": F.lead(c, n).over(w) for name, c in (("m", "motif_id"), ("s", "dna_start"), ("b", "__back")) for n in (1, 2)}
+    s1, s2, b1, b2 = (F.col(f"__{x}") for x in ("s1", "s2", "b1", "b2"))
     met = lambda s, t, b, c: (b == c) | (s == F.col("fore")) & (t == F.col("back"))
     gap1 = (F.abs(s1 - start) <= within) & met(start, s1, back, b1)
     gap2 = (F.abs(s2 - s1) <= within) & met(s1, s2, b1, b2)
-    pair = _follows(w, tuple(s for s in rules.SEEDS if len(s) == 2)) & gap1
-    triple = _follows(w, tuple(s for s in rules.SEEDS if len(s) == 3)) & gap1 & gap2
+    pair = _spelled(tuple(s for s in rules.SEEDS if len(s) == 2)) & gap1
+    triple = _spelled(tuple(s for s in rules.SEEDS if len(s) == 3)) & gap1 & gap2
     length = F.when(F.coalesce(pair, F.lit(False)), 2).when(F.coalesce(triple, F.lit(False)), 3).otherwise(0)
-    third = F.when(F.col("seed_length") == 3, F.col("__s2"))
+    third = F.when(F.col("seed_length") == 3, s2)
     last = F.when(F.col("seed_length") == 3, F.col("__m2")).when(F.col("seed_length") == 2, F.col("__m1"))
-    out = rows.withColumns({"seed_length": length, "__s1": s1, "__s2": s2, "__m1": F.lead("motif_id", 1).over(w), "__m2": F.lead("motif_id", 2).over(w)})
-    return out.withColumns({"reach_lo": F.least("dna_start", "__s1", third), "reach_hi": F.greatest("dna_start", "__s1", third), "last_id": last}).drop("__s1", "__s2", "__m1", "__m2")
+    # each lead once: a lead in each test of a word is a window function of its own
+    out = rows.withColumn("__back", F.coalesce("__minus", F.lit(False))).withColumns(lead).withColumn("seed_length", length)
+    return out.withColumns({"reach_lo": F.least("dna_start", s1, third), "reach_hi": F.greatest("dna_start", s1, third), "last_id": last}).drop("__back", *lead)
 
 
 def seed_rows(motifs: DataFrame, within: int = 500, table: DataFrame | None = None) -> DataFrame:
     """with_seeds, and the seeds' ends. Motifs are dealt by tiles of a contig, each with those near its edges, so that the next two motifs that matter are at hand."""
     if within > TURN:
-        return mark_seeds(with_turns(motifs, whole=True), by_contig(), within).drop("fore", "back")
+        return mark_seeds(keyed(with_turns(motifs, whole=True)), by("contig_id"), within).drop("fore", "back", "__minus", "__along")
     size, halo = max(TILE, 8 * within), 2 * within
-    tile = lambda by: F.floor((F.col("dna_start") + by) / size)
-    rows = with_turns(motifs, table).withColumn("__own", tile(0)).withColumn("__tile", F.explode(F.array_distinct(F.array(tile(0), tile(-halo), tile(halo)))))
-    out = mark_seeds(rows, Window.partitionBy("contig_id", "__tile").orderBy(*order_columns()), within)
-    return out.filter("__tile <=> __own").drop("__tile", "__own", "fore", "back")
+    tile = lambda off: F.floor((F.col("dna_start") + off) / size)
+    rows = keyed(with_turns(motifs, table)).withColumn("__own", tile(0)).withColumn("__tile", F.explode(F.array_distinct(F.array(tile(0), tile(-halo), tile(halo)))))
+    out = mark_seeds(dealt(rows, "contig_id", "__tile"), by("contig_id", "__tile"), within)
+    return out.filter("__tile <=> __own").drop("__tile", "__own", "fore", "back", "__minus", "__along")
 
 
 def with_seeds(motifs: DataFrame, within: int = 500, table: DataFrame | None = None) -> DataFrame:

@@ -90,3 +90,27 @@ def test_islands_are_folded_as_a_stream(spark):
     for whole in (False, True):
         plan = asm.assemble(df, whole=whole)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def stored(spark, tmp_path, monkeypatch):
+    """A table in files that are many shares of a task, on a session of 4 shuffle partitions."""
+    monkeypatch.setattr(mo, "SHARE", 1 << 10)
+    table_of(spark, 11, contigs=60).write.parquet(str(tmp_path / "m"))
+    return spark.read.parquet(str(tmp_path / "m"))
+
+
+def test_seeds_are_dealt_by_the_size_of_the_input(spark, stored):
+    """With the session's partitions alone a task's memory grew with the table; and each lead was made for each test of a word."""
+    kept, turns = mo.deduped(stored)
+    plan = plan_of(mo.mark_seeds(mo.keyed(mo.with_turns(stored, whole=True)), mo.by("contig_id"), 500))
+    assert plan.count(" AS __m1") + plan.count(" AS __m2") == 2 and plan.count("lead(") == 6
+    seeds = mo.with_seeds(kept, table=turns)
+    assert seeds.rdd.getNumPartitions() > 8
+    key = ["contig_id", "dna_start", "motif_id", "strand", "frame", "protein_sequence"]
+    want = mo.mark_seeds(mo.keyed(mo.with_turns(kept, whole=True)), mo.by("contig_id"), 500)
+    assert sorted(map(tuple, seeds.select(*key, "seed_length").collect())) == sorted(map(tuple, want.select(*key, "seed_length").collect()))
