@@ -114,3 +114,16 @@ def test_seeds_are_dealt_by_the_size_of_the_input(spark, stored):
     key = ["contig_id", "dna_start", "motif_id", "strand", "frame", "protein_sequence"]
     want = mo.mark_seeds(mo.keyed(mo.with_turns(kept, whole=True)), mo.by("contig_id"), 500)
     assert sorted(map(tuple, seeds.select(*key, "seed_length").collect())) == sorted(map(tuple, want.select(*key, "seed_length").collect()))
+
+
+def test_dedup_sorts_once(spark, stored):
+    """Windows whose keys are expressions each sorted the rows anew, and held them twice in a task."""
+    for whole in (False, True):
+        kept = mo.dedup_adjacent(stored, whole=whole)
+        plan = plan_of(kept)
+        assert plan.count("Sort [contig_id") - whole <= 1
+        got = {}
+        for x in kept.collect():
+            got.setdefault(x.contig_id, []).append((x.strand, x.dna_start, x.motif_id, x.frame, x.protein_sequence))
+        assert {c: sorted(v) for c, v in got.items()} == {c: sorted(v) for c, v in walked(stored)[0].items()}
+    assert mo.dedup_adjacent(stored).rdd.getNumPartitions() > 8
