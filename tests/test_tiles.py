@@ -127,3 +127,10 @@ def test_dedup_sorts_once(spark, stored):
             got.setdefault(x.contig_id, []).append((x.strand, x.dna_start, x.motif_id, x.frame, x.protein_sequence))
         assert {c: sorted(v) for c, v in got.items()} == {c: sorted(v) for c, v in walked(stored)[0].items()}
     assert mo.dedup_adjacent(stored).rdd.getNumPartitions() > 8
+
+
+def test_ranks_are_dealt_by_the_size_of_the_input(spark, stored):
+    ranks = mo.rank_motifs(stored)
+    assert ranks.rdd.getNumPartitions() > 8 and "SortMergeJoin" not in plan_of(ranks)
+    w = Window.partitionBy("contig_id").orderBy(*mo.order_columns())
+    assert ranks.withColumn("n", F.row_number().over(w)).filter("n <> motif_rank").count() == 0 and ranks.count() == stored.count()
