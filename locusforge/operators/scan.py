@@ -1,7 +1,7 @@
 """The motif scan: translation, matrix scores, arbitration of overlaps and the signature filter, in one Arrow stage.
 
-Scores are sums over position triples: a table gives three positions' scores of four motifs at once, so windows of width
-w cost w / 12 gathers a motif, over all proteins of a batch together. Only windows over the first threshold leave numpy;
+Scores are sums over position triples: a table gives three positions' scores of four or eight motifs at once, so windows
+of width w cost w / 12 or w / 24 gathers a motif, over all proteins of a batch together. Only windows over the first threshold leave numpy;
 arbitration, whose outcome depends on order, walks over those few.
 
 Nothing is shuffled, and a batch is handled in slices of about SLICE bases, so memory doesn't grow with the fragments.
@@ -22,7 +22,7 @@ from locusforge.sources.config import Motifs
 
 SLICE = 1 << 19
 LETTERS = 27  # A-Z, and the stop codon
-BLOCK, LANES = 1 << 14, 4  # places scored at once, so that they stay in a core's cache; motifs scored by one look-up
+BLOCK = 1 << 14  # places scored at once, so that they stay in a core's cache
 
 _BASE = np.full(256, 4, np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -85,7 +85,11 @@ class Scanner:
         return total
 
     def pack(self) -> None:
-        """Letters that all matrices score alike share a number, and motifs of similar width share a table: each entry holds LANES sums of 16 bits, none below 0."""
+        """Letters that all matrices score alike share a number, and motifs of similar width share a table, each with a lane of 8 or 16 bits in its entries.
+
+        A lane counts from the least score in units of the scores' greatest common divisor and stays under half of its
+        numbers: lifted by what its threshold lacks to half, its highest bit is set where the threshold is reached.
+        """
         motifs = self.motifs
         full = {i: np.zeros((LETTERS, motifs.width(i)), np.int64) for i in motifs.order}
         for i in motifs.order:
@@ -94,41 +98,50 @@ class Scanner:
         rows = np.concatenate([full[i] for i in motifs.order], axis=1)
         _, first, code = np.unique(rows, axis=0, return_index=True, return_inverse=True)
         self.code, self.kinds = code.reshape(-1).astype(np.int64), len(first)
-        self.packs, self.alone = [], []
-        ok = [i for i in motifs.order if (full[i].max(axis=0) - low[i]).sum() < 1 << 16]
-        self.alone = [i for i in motifs.order if i not in ok]
-        ok.sort(key=motifs.width)
-        for g in range(0, len(ok), LANES):
-            group = ok[g : g + LANES]
-            tables = []
-            for k in range(0, max(map(motifs.width, group)), 3):
-                table = np.zeros(self.kinds**3, "<i8")
-                for lane, i in enumerate(group):
-                    c = [(full[i][first, j] - low[i][j]) if j < motifs.width(i) else np.zeros(self.kinds, np.int64) for j in range(k, k + 3)]
-                    table += (c[0][:, None, None] + c[1][None, :, None] + c[2][None, None, :]).ravel() << (16 * lane)
-                tables.append(table)
-            self.packs.append((tables, [(lane, i, int(low[i].sum())) for lane, i in enumerate(group)]))
+        unit = {i: max(1, int(np.gcd.reduce((full[i] - low[i]).ravel()))) for i in motifs.order}
+        top = {i: int((full[i].max(axis=0) - low[i]).sum()) // unit[i] for i in motifs.order}
+        fits = {i: next((b for b in (8, 16) if top[i] < 1 << b - 1), 0) for i in motifs.order}
+        self.packs, self.alone = [], [i for i in motifs.order if not fits[i]]
+        for bits in (8, 16):
+            some = sorted((i for i in motifs.order if fits[i] == bits), key=motifs.width)
+            for g in range(0, len(some), 64 // bits):
+                group, tables = some[g : g + 64 // bits], []
+                for k in range(0, max(map(motifs.width, group)), 3):
+                    table = np.zeros(self.kinds**3, "<u8")
+                    for lane, i in enumerate(group):
+                        c = [(full[i][first, j] - low[i][j]) // unit[i] if j < motifs.width(i) else np.zeros(self.kinds, np.int64) for j in range(k, k + 3)]
+                        table += (c[0][:, None, None] + c[1][None, :, None] + c[2][None, None, :]).ravel().astype("<u8") << np.uint64(bits * lane)
+                    tables.append(table)
+                self.packs.append((tables, (bits, [(lane, i, int(low[i].sum()), unit[i]) for lane, i in enumerate(group)])))
 
     def over(self, text: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(motif, places, scores) of windows over the first threshold at the first n places."""
         code = self.code[text]
+        packs = []
+        for tables, (bits, lanes) in self.packs:
+            half = 1 << bits - 1
+            least = [-(-max(0, int(self.first[i]) - low) // unit) for _, i, low, unit in lanes]
+            lifts = [half - x if x <= half else 0 for x in least]  # beyond half: never reached
+            packs.append((tables, bits, np.uint64(sum(x << bits * k for k, x in enumerate(lifts))), np.uint64(sum(half << bits * k for k in range(len(lanes)))), [(*x, up) for x, up in zip(lanes, lifts, strict=True)]))
         for begin in range(0, n, BLOCK):
             m = min(BLOCK, n - begin)
             c = code[begin : begin + m + 3 * self.reach + 3]
             triples = (c[:-2] * self.kinds + c[1:-1]) * self.kinds + c[2:]
-            part = np.empty(m, "<i8")
-            for tables, lanes in self.packs:
+            part = np.empty(m, "<u8")
+            for tables, bits, lift, high, lanes in packs:
                 total = tables[0].take(triples[:m], mode="clip")
+                total += lift
                 for k, table in enumerate(tables[1:], 1):
                     table.take(triples[3 * k : 3 * k + m], out=part, mode="clip")
                     total += part
-                apart = total.view("<u2").reshape(m, LANES)
-                for lane, i, low in lanes:
-                    least = max(0, self.first[i] - low)
-                    if least < 1 << 16:
-                        places = np.flatnonzero(apart[:, lane] >= least)
-                        if len(places):
-                            yield i, places + begin, apart[places, lane].astype(np.int64) + low
+                reached = np.flatnonzero(np.bitwise_and(total, high, out=part))
+                if not len(reached):
+                    continue
+                apart = total[reached].view(f"<u{bits // 8}").reshape(len(reached), -1)
+                for lane, i, low, unit, up in lanes:
+                    own = np.flatnonzero(apart[:, lane] >= 1 << bits - 1)
+                    if len(own):
+                        yield i, reached[own] + begin, (apart[own, lane].astype(np.int64) - up) * unit + low
         if self.alone:
             wide = text.astype(np.int64)
             triples = wide[:-2] * LETTERS**2 + wide[1:-1] * LETTERS + wide[2:]
