@@ -134,3 +134,18 @@ def test_ranks_are_dealt_by_the_size_of_the_input(spark, stored):
     assert ranks.rdd.getNumPartitions() > 8 and "SortMergeJoin" not in plan_of(ranks)
     w = Window.partitionBy("contig_id").orderBy(*mo.order_columns())
     assert ranks.withColumn("n", F.row_number().over(w)).filter("n <> motif_rank").count() == 0 and ranks.count() == stored.count()
+
+
+def test_folds_are_dealt_by_the_size_of_the_input(spark, stored):
+    """Motifs are few bytes, so that adaptive execution put the windows and folds of a large input into few tasks."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        kept = mo.dedup_adjacent(stored, whole=True)
+        loci = asm.assemble(kept, whole=True)
+        assert plan_of(kept).count("REPARTITION_BY_NUM") == 1 and plan_of(loci).count("REPARTITION_BY_NUM") == 2
+        found = {}
+        for x in loci.orderBy("contig_id", "locus_no").collect():
+            found.setdefault(x.contig_id, []).append([(m.motif_id, m.dna_start, m.strand) for m in x.motifs])
+        assert found == walked(stored)[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
