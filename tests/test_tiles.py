@@ -149,3 +149,10 @@ def test_folds_are_dealt_by_the_size_of_the_input(spark, stored):
         assert found == walked(stored)[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_alignment_deals_its_windows_and_folds(spark, monkeypatch):
+    from locusforge import queries
+
+    monkeypatch.setattr(mo, "SHARE", 1 << 12)
+    assert plan_of(queries.q_nbarc_alignment(spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") >= 2
