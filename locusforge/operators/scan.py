@@ -1,8 +1,10 @@
 """The motif scan: translation, matrix scores, arbitration of overlaps and the signature filter, in one Arrow stage.
 
-Scores are sums over position triples: a table gives three positions' scores of four or eight motifs at once, so windows
-of width w cost w / 12 or w / 24 gathers a motif, over all proteins of a batch together. Only windows over the first threshold leave numpy;
-arbitration, whose outcome depends on order, walks over those few.
+A matrix whose columns all score a letter with one of two values a fixed step apart, as the built-in ones do, counts
+matches: bits of eight places lie in a byte, and adders made of bitwise operations count them, over all proteins of a
+batch together. Scores of other matrices are sums over position triples: a table gives three positions' scores of four or
+eight motifs at once, so windows of width w cost w / 12 or w / 24 gathers a motif. Only windows over the first threshold
+leave numpy; arbitration, whose outcome depends on order, walks over those few.
 
 Nothing is shuffled, and a batch is handled in slices of about SLICE bases, so memory doesn't grow with the fragments.
 """
@@ -23,6 +25,7 @@ from locusforge.sources.config import Motifs
 SLICE = 1 << 19
 LETTERS = 27  # A-Z, and the stop codon
 BLOCK = 1 << 14  # places scored at once, so that they stay in a core's cache
+ROW = 1 << 15  # bytes of a plane of bits, each of eight places
 
 _BASE = np.full(256, 4, np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -52,17 +55,68 @@ _BASE5 = _BASE.astype(np.uint8)
 _OTHER5 = np.array([3, 2, 1, 0, 4], np.uint8)
 #: Amino acid of each codon over five bases, the fifth being any other.
 _AMINO5 = np.array([_AMINO[16 * a + 4 * b + c] if max(a, b, c) < 4 else _AMINO[64] for a in range(5) for b in range(5) for c in range(5)], np.uint8)
+# as tables of bytes.translate, which costs less than an index of numpy
+_FORWARD, _BACK = _BASE5.tobytes(), _OTHER5[_BASE5].tobytes()
+_CODON = _AMINO5.tobytes() + bytes(256 - len(_AMINO5))
 
 
 def six(fragment: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
     """The frames share one look-up a strand: each is every third of its codons."""
-    forward = _BASE5[np.frombuffer(fragment, np.uint8)]
-    for strand, b in (("+", forward), ("-", _OTHER5[forward[::-1]])):
-        codons = _AMINO5[b[:-2] * np.uint8(25) + b[1:-1] * np.uint8(5) + b[2:]]
+    for strand, bases in (("+", fragment.translate(_FORWARD)), ("-", fragment[::-1].translate(_BACK))):
+        b = np.frombuffer(bases, np.uint8)
+        codons = np.frombuffer((b[:-2] * np.uint8(25) + b[1:-1] * np.uint8(5) + b[2:]).tobytes().translate(_CODON), np.uint8)
         for frame in range(3):
             yield strand, frame, codons[frame::3]
 
 
+def planes(text: np.ndarray, row: int, reach: int) -> list[np.ndarray]:
+    """For each letter the bytes of row + reach places: bit j of byte t tells whether place j * row + t holds it. So a step along the text is a step along the bytes."""
+    n = row + reach
+    bits = [np.zeros(-(-n // 8), "<u8") for _ in range(5)]
+    ones, held = np.uint64(0x0101010101010101), np.zeros(8 * len(bits[0]), np.uint8)
+    for j in range(8):
+        held[:n] = text[j * row : j * row + n]
+        words = held.view("<u8")
+        for b, plane in enumerate(bits):
+            plane |= (words >> np.uint64(b) & ones) << np.uint64(j)
+    out = [~bits[4], bits[4]]
+    for plane in bits[3::-1]:
+        off = ~plane
+        out = [x & y for x in out for y in (off, plane)]
+    return [x.view(np.uint8) for x in out[:LETTERS]]
+
+
+def count(inputs: list[np.ndarray]) -> list[np.ndarray]:
+    """Planes of the bits of the number of ones in the inputs, the least first: full adders, level by level."""
+    out = []
+    while inputs:
+        carries, total = [], inputs[0]
+        for a, b in zip(inputs[1::2], inputs[2::2], strict=False):
+            half, carry = total ^ a, total & a
+            total = half ^ b
+            half &= b
+            carry |= half
+            carries.append(carry)
+        if len(inputs) % 2 == 0:
+            carries.append(total & inputs[-1])
+            total = total ^ inputs[-1]
+        out.append(total)
+        inputs = carries
+    return out
+
+
+def at_least(counts: list[np.ndarray], n: int) -> np.ndarray:
+    """The plane of the places whose count is n or more."""
+    over, same = np.zeros_like(counts[0]), np.full_like(counts[0], 255)
+    for k in range(len(counts) - 1, -1, -1):
+        if n >> k & 1:
+            same &= counts[k]
+        else:
+            over |= same & counts[k]
+            same &= ~counts[k]
+    return over | same
+
+
 class Scanner:
     def __init__(self, motifs: Motifs):
         self.motifs = motifs
@@ -91,7 +145,7 @@ class Scanner:
         numbers: lifted by what its threshold lacks to half, its highest bit is set where the threshold is reached.
         """
         motifs = self.motifs
-        full = {i: np.zeros((LETTERS, motifs.width(i)), np.int64) for i in motifs.order}
+        self.full = full = {i: np.zeros((LETTERS, motifs.width(i)), np.int64) for i in motifs.order}
         for i in motifs.order:
             full[i][:26] = motifs.pwm[i]
         low = {i: m.min(axis=0) for i, m in full.items()}
@@ -100,10 +154,13 @@ class Scanner:
         self.code, self.kinds = code.reshape(-1).astype(np.int64), len(first)
         unit = {i: max(1, int(np.gcd.reduce((full[i] - low[i]).ravel()))) for i in motifs.order}
         top = {i: int((full[i].max(axis=0) - low[i]).sum()) // unit[i] for i in motifs.order}
-        fits = {i: next((b for b in (8, 16) if top[i] < 1 << b - 1), 0) for i in motifs.order}
-        self.packs, self.alone = [], [i for i in motifs.order if not fits[i]]
+        # letters that score a step more than the column's others, for columns that have such
+        step = {i: (full[i] - low[i]) // unit[i] for i in motifs.order}
+        self.counted = {i: ([(j, tuple(np.flatnonzero(c).tolist())) for j, c in enumerate(step[i].T) if c.any()], int(low[i].sum()), unit[i]) for i in motifs.order if step[i].max(initial=0) <= 1}
+        fits = {i: next((b for b in (8, 16) if top[i] < 1 << b - 1), 0) for i in motifs.order if i not in self.counted}
+        self.packs, self.alone = [], [i for i in fits if not fits[i]]
         for bits in (8, 16):
-            some = sorted((i for i in motifs.order if fits[i] == bits), key=motifs.width)
+            some = sorted((i for i in fits if fits[i] == bits), key=motifs.width)
             for g in range(0, len(some), 64 // bits):
                 group, tables = some[g : g + 64 // bits], []
                 for k in range(0, max(map(motifs.width, group)), 3):
@@ -114,8 +171,33 @@ class Scanner:
                     tables.append(table)
                 self.packs.append((tables, (bits, [(lane, i, int(low[i].sum()), unit[i]) for lane, i in enumerate(group)])))
 
+    def counts_over(self, text: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """over() of the counted matrices."""
+        row = -(-n // (64 * -(-n // (8 * ROW)))) * 8
+        padded = np.concatenate([text, np.zeros(8 * row + self.reach, np.uint8)])
+        for begin in range(0, n, 8 * row):
+            letters = planes(padded[begin:], row, self.reach)
+            for i, (columns, low, unit) in self.counted.items():
+                least = -(-max(0, int(self.first[i]) - low) // unit)
+                if least > len(columns):
+                    continue
+                inputs = [(letters[a[0]] if len(a) == 1 else np.bitwise_or.reduce([letters[x] for x in a]))[j : j + row] for j, a in columns]
+                reached = at_least(count(inputs), least) if least else np.full(row, 255, np.uint8)
+                some = np.flatnonzero(reached.view("<u8"))  # words first: they are few
+                if not len(some):
+                    continue
+                at, t, j = np.nonzero(np.unpackbits(reached.reshape(-1, 8, 1)[some], axis=2, bitorder="little"))
+                places = np.sort(begin + j * row + 8 * some[at] + t)
+                places = places[places < n]
+                along = np.arange(self.full[i].shape[1])
+                yield i, places, self.full[i][padded[places[:, None] + along], along].sum(axis=1)
+
     def over(self, text: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(motif, places, scores) of windows over the first threshold at the first n places."""
+        if self.counted:
+            yield from self.counts_over(text, n)
+        if not self.packs and not self.alone:
+            return
         code = self.code[text]
         packs = []
         for tables, (bits, lanes) in self.packs:

@@ -142,3 +142,26 @@ def test_small_scores_take_lanes_of_eight_bits():
         full = np.vstack([own.pwm[i], np.zeros((1, own.width(i)), np.int64)])
         total = sum(full[text[j : j + n], j] for j in range(own.width(i)))
         assert got[i] and got[i] == {q: total[q] for q in np.flatnonzero(total >= s.first[i]).tolist()}
+
+
+def test_matches_are_counted_in_planes_of_bits():
+    """Matrices of one step take no look-up a place; several letters a column, flat columns, thresholds that all or no places reach, rows' edges, and others beside them."""
+    own = config.synthetic()
+    assert not scan.Scanner(own).packs and set(scan.Scanner(own).counted) == set(own.order)
+    r = np.random.default_rng(6)
+    pwm = {i: 7 * (r.random(m.shape) < r.choice([0.05, 0.3])) * (np.arange(m.shape[1]) % 5 > 0) for i, m in own.pwm.items()}
+    pwm[2] = r.integers(0, 3, own.pwm[2].shape)  # two steps: lanes of 8 bits
+    pwm[4] = np.full(own.pwm[4].shape, 2)  # all letters but the stop codon
+    s = scan.Scanner(config.Motifs(own.order, pwm, own.cdf))
+    assert 2 not in s.counted and len(s.packs) == 1 and len(s.counted) == 19
+    s.first = {i: {1: -10_000, 3: 10_000, 4: 29}.get(i, 35) for i in own.order}
+    for n in (8 * scan.ROW + 1001, 5):
+        text = r.integers(0, 27, n + s.reach).astype(np.uint8)
+        got = {i: {} for i in own.order}
+        for i, places, scores in s.over(np.append(text, np.zeros(3 * s.reach + 3, np.uint8)), n):
+            assert list(places) == sorted(places)
+            got[i].update(zip(places.tolist(), scores.tolist(), strict=True))
+        for i, m in pwm.items():
+            full = np.vstack([m, np.zeros((1, m.shape[1]), np.int64)])
+            total = sum(full[text[j : j + n], j] for j in range(m.shape[1]))
+            assert got[i] == {q: total[q] for q in np.flatnonzero(total >= s.first[i]).tolist()}
