@@ -216,7 +216,7 @@ def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams(), table
     rows = far_islands(motifs, params) if whole else near_islands(motifs, params, table)
     slim = keyed(rows).select("contig_id", "island", *dict.fromkeys((*_KINDS, "fore", "back", *KEYS)))
     where = ("contig_id", "island")
-    placed = dealt(slim.repartition(*where), *where, dear=True).sortWithinPartitions("contig_id", "island", *KEYS)
+    placed = dealt(slim.repartition(*where), *where).sortWithinPartitions("contig_id", "island", *KEYS)
     return name_loci(placed.select("contig_id", "island", *_KINDS, "fore", "back").mapInArrow(fold_sorted(params), _PIECE))
 
 
@@ -226,7 +226,7 @@ def name_loci(loci: DataFrame) -> DataFrame:
     start, end = fn.span(m)
     first = m[0]
     w = Window.partitionBy("contig_id").orderBy(first["strand"] == "-", F.when(first["strand"] == "-", -first["dna_start"]).otherwise(first["dna_start"]), -F.size("motifs"), "first_at", "piece")
-    out = dealt(loci, "contig_id").withColumn("locus_no", F.row_number().over(w).cast("bigint"))
+    out = dealt(loci, "contig_id", few=True).withColumn("locus_no", F.row_number().over(w).cast("bigint"))
     return out.select(
         F.concat("contig_id", F.lit("_nlr"), F.col("locus_no").cast("string")).alias("name"), "contig_id", "locus_no", first["strand"].alias("strand"), start.alias("start_pos"), end.alias("end_pos"),
         fn.domain_string(m).alias("domains"), fn.motif_list(m).alias("motif_list"), fn.is_complete(m).alias("is_complete"), fn.has_stop(m).alias("has_stop"), "motifs",

@@ -37,12 +37,20 @@ def by(*parts: str) -> Window:
     return Window.partitionBy(*parts).orderBy(*KEYS)
 
 
-def dealt(rows: DataFrame, *keys: str, dear: bool = False) -> DataFrame:
-    """Rows dealt by keys over tasks that grow in number with the input, where the session's shuffle partitions are too few for it: a task's memory doesn't grow. `dear`: also where they are enough, as few bytes that cost much time would be put together in few tasks."""
+def dealt(rows: DataFrame, *keys: str, few: bool = False) -> DataFrame:
+    """Rows dealt by keys over tasks that grow in number with the input, so that a task's memory doesn't grow.
+
+    Also where the session's shuffle partitions are enough: adaptive execution puts those together, up to 64 MB of packed
+    rows a task or what the session says. `few`: only where they are too few, for rows that are few against the input.
+    """
     leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     n = max((x // SHARE for x in sizes if x < 1 << 50), default=0)  # greater: unknown
-    return rows.repartition(n, *keys) if n > (1 if dear else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) else rows
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n <= (parts if few else 1):
+        return rows
+    return rows.repartition(max(n, min(parts, spark.sparkContext.defaultParallelism)), *keys)
 
 
 def rank_motifs(motifs: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def dedup_adjacent(motifs: DataFrame, table: DataFrame | None = None, whole: boo
     parts = ["contig_id"]
     if not whole:
         rows, parts = rows.withColumn("__tile", F.floor(F.col("dna_start") / TILE)), ["contig_id", "__tile"]
-    rows = dealt(rows, *parts, dear=whole)
+    rows = dealt(rows, *parts)
     w = by(*parts)
     runs = rows.withColumns({"__at": F.row_number().over(w), "__id": F.lag("motif_id").over(w), "__start": F.lag("dna_start").over(w), "__was": F.lag("__minus").over(w)})
     if whole:  # after the first window, whose sort serves this one too

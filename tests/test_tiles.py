@@ -156,3 +156,15 @@ def test_alignment_deals_its_windows_and_folds(spark, monkeypatch):
 
     monkeypatch.setattr(mo, "SHARE", 1 << 12)
     assert plan_of(queries.q_nbarc_alignment(spark, "/root/testdata/sf0.001")).count("REPARTITION_BY_NUM") >= 2
+
+
+@pytest.mark.parametrize("what", ["dedup_adjacent", "rank_motifs", "with_seeds"])
+def test_tasks_do_not_hang_on_adaptive_execution(spark, stored, what):
+    """With more shuffle partitions in the session than tasks by size, these were put together again into tasks that grew with the table."""
+    turns = mo.turns(stored)
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        out = {"dedup_adjacent": mo.dedup_adjacent, "rank_motifs": mo.rank_motifs, "with_seeds": lambda x: mo.with_seeds(x, table=turns)}[what](stored)
+        assert plan_of(out).count("REPARTITION_BY_NUM") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
