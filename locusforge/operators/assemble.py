@@ -105,15 +105,15 @@ class Island:
 
 
 def far_islands(motifs: DataFrame, params: AssembleParams) -> DataFrame:
-    """Adds fore, back and island: contigs cut where neighbours are far apart. For contigs small enough for one task; the motifs are made only once."""
+    """Adds island: contigs cut where neighbours are far apart. For contigs small enough for one task; the motifs are made only once."""
     w = by("contig_id")
     far = max(params.within, params.elongate, params.between)
     gap = F.abs(F.col("dna_start") - F.lag("dna_start").over(w)) > far
     both = Window.partitionBy("contig_id", "motif_id", "dna_start")
     # the first sort serves the windows over contigs, the next one all windows in order
     rows = keyed(motifs).withColumn("__both", (F.min("strand").over(both) != F.max("strand").over(both)).cast("int"))
-    rows = with_turns(rows.withColumn("__whole", F.max("__both").over(Window.partitionBy("contig_id"))), whole=True)
-    rows = mark_seeds(rows, w, params.within).withColumn("__cut", F.coalesce(gap, F.lit(False)).cast("int"))
+    rows = rows.withColumn("__whole", F.max("__both").over(Window.partitionBy("contig_id")))
+    rows = mark_seeds(rows, w, params.within, whole=True).withColumn("__cut", F.coalesce(gap, F.lit(False)).cast("int"))
     rows = rows.withColumn("island", F.when(F.col("__whole") == 1, 0).otherwise(F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("bigint"))
     seeded = F.max("seed_length").over(Window.partitionBy("contig_id", "island"))
     return rows.withColumn("__seeded", seeded).filter("__seeded > 0").drop("__minus", "__along")
@@ -158,10 +158,10 @@ _PIECE = f"contig_id string, first_at bigint, piece int, motifs array<{LOCUS_MOT
 _KINDS = {"motif_id": pa.int32(), "protein_sequence": pa.string(), "pvalue": pa.float64(), "dna_start": pa.int64(), "dna_end": pa.int64(), "strand": pa.string()}
 
 
-def fold_island(rows: list[tuple], params: AssembleParams) -> Iterator[list[int]]:
-    """Loci of an island's (motif, start, reverse, stop, fore, back), in order. Between strands that don't meet at the contig's turn stands a motif that nothing can pass."""
+def fold_island(rows: list[tuple], params: AssembleParams, whole: bool = False) -> Iterator[list[int]]:
+    """Loci of an island's (motif, start, reverse, stop, fore, back), in order. Between strands that don't meet at the contig's turn stands a motif that nothing can pass. `whole`: the island is a run of the contig's order, so its strands meet only there."""
     turn = next((i for i, r in enumerate(rows) if r[2]), len(rows))
-    met = turn in (0, len(rows)) or (rows[turn - 1][1], rows[turn][1]) == (rows[0][4], rows[0][5])
+    met = whole or turn in (0, len(rows)) or (rows[turn - 1][1], rows[turn][1]) == (rows[0][4], rows[0][5])
     shown = [r[:4] for r in rows]
     if not met:
         shown.insert(turn, (0, 1 << 62, False, True))
@@ -171,9 +171,11 @@ def fold_island(rows: list[tuple], params: AssembleParams) -> Iterator[list[int]
         yield locus if met else [i - (i > turn) for i in locus]
 
 
-def fold_sorted(params: AssembleParams):
+def fold_sorted(params: AssembleParams, whole: bool = False):
     """Sorted rows -> loci, an island at a time: a task holds one island and a batch."""
 
+    turns = () if whole else ("fore", "back")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
@@ -181,7 +183,7 @@ def fold_sorted(params: AssembleParams):
 
         def close() -> None:
             if held:
-                for n, locus in enumerate(fold_island([(r[0], r[3], r[5] == "-", "*" in (r[1] or ""), r[6], r[7]) for r in held], params)):
+                for n, locus in enumerate(fold_island([(r[0], r[3], r[5] == "-", "*" in (r[1] or ""), *r[6:]) for r in held], params, whole)):
                     out.append((key[0], locus[0], n, [dict(zip(_KINDS, held[i], strict=False)) for i in locus]))
 
         def flush() -> pa.RecordBatch:
@@ -192,7 +194,7 @@ def fold_sorted(params: AssembleParams):
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*_KINDS, "fore", "back")]
+            columns = [batch.column(c).to_pylist() for c in (*_KINDS, *turns)]
             for where, row in zip(zip(batch.column("contig_id").to_pylist(), batch.column("island").to_pylist(), strict=True), zip(*columns, strict=True), strict=True):
                 if where != key:
                     close()
@@ -214,10 +216,11 @@ def assemble(motifs: DataFrame, params: AssembleParams = AssembleParams(), table
     """
     whole = whole or max(params.within, 2 * params.elongate) > TURN
     rows = far_islands(motifs, params) if whole else near_islands(motifs, params, table)
-    slim = keyed(rows).select("contig_id", "island", *dict.fromkeys((*_KINDS, "fore", "back", *KEYS)))
+    turns = () if whole else ("fore", "back")
+    slim = keyed(rows).select("contig_id", "island", *dict.fromkeys((*_KINDS, *turns, *KEYS)))
     where = ("contig_id", "island")
     placed = dealt(slim.repartition(*where), *where).sortWithinPartitions("contig_id", "island", *KEYS)
-    return name_loci(placed.select("contig_id", "island", *_KINDS, "fore", "back").mapInArrow(fold_sorted(params), _PIECE))
+    return name_loci(placed.select("contig_id", "island", *_KINDS, *turns).mapInArrow(fold_sorted(params, whole), _PIECE))
 
 
 def name_loci(loci: DataFrame) -> DataFrame:

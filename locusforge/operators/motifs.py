@@ -101,11 +101,11 @@ def dedup_adjacent(motifs: DataFrame, table: DataFrame | None = None, whole: boo
         rows, parts = rows.withColumn("__tile", F.floor(F.col("dna_start") / TILE)), ["contig_id", "__tile"]
     rows = dealt(rows, *parts)
     w = by(*parts)
-    runs = rows.withColumns({"__at": F.row_number().over(w), "__id": F.lag("motif_id").over(w), "__start": F.lag("dna_start").over(w), "__was": F.lag("__minus").over(w)})
-    if whole:  # after the first window, whose sort serves this one too
-        runs = with_turns(runs, whole=True)
-    at_turn = F.coalesce((F.col("dna_start") == F.col("fore")) & (F.col("dna_start") == F.col("back")), F.lit(False))
-    same = (F.col("__id") == F.col("motif_id")) & (F.col("__start") == F.col("dna_start")) & (at_turn | F.col("__was").eqNullSafe(F.col("__minus")))
+    runs = rows.withColumns({"__at": F.row_number().over(w), "__id": F.lag("motif_id").over(w), "__start": F.lag("dna_start").over(w)} | ({} if whole else {"__was": F.lag("__minus").over(w)}))
+    same = (F.col("__id") == F.col("motif_id")) & (F.col("__start") == F.col("dna_start"))
+    if not whole:  # in a whole contig the strands' neighbours are those at its turn
+        at_turn = F.coalesce((F.col("dna_start") == F.col("fore")) & (F.col("dna_start") == F.col("back")), F.lit(False))
+        same &= at_turn | F.col("__was").eqNullSafe(F.col("__minus"))
     runs = runs.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(F.col("__at")))
     runs = runs.withColumn("__run", F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.filter("(__at - __run) % 2 = 0").select(*motifs.columns)
@@ -139,12 +139,12 @@ def signature_filter(hits: DataFrame, group: list[str], order: list[Column]) ->
     return rows.filter("__any = 1").drop("__hit", "__any", "__m1", "__m2")
 
 
-def mark_seeds(rows: DataFrame, w: Window, within: int) -> DataFrame:
-    """Adds seed_length (and reach_lo, reach_hi: the seed's least and greatest start), given keyed rows, fore and back; the strands meet only at the turn."""
+def mark_seeds(rows: DataFrame, w: Window, within: int, whole: bool = False) -> DataFrame:
+    """Adds seed_length (and reach_lo, reach_hi: the seed's least and greatest start), given keyed rows, fore and back; the strands meet only at the turn. `whole`: w is over contigs, where only they are neighbours, and rows have no fore and back."""
     start, back = F.col("dna_start"), F.col("__back")
-    lead = {f"__{name}{n}": F.lead(c, n).over(w) for name, c in (("m", "motif_id"), ("s", "dna_start"), ("b", "__back")) for n in (1, 2)}
+    lead = {f"__{name}{n}": F.lead(c, n).over(w) for name, c in (("m", "motif_id"), ("s", "dna_start"), ("b", "__back"))[: 2 if whole else 3] for n in (1, 2)}
     s1, s2, b1, b2 = (F.col(f"__{x}") for x in ("s1", "s2", "b1", "b2"))
-    met = lambda s, t, b, c: (b == c) | (s == F.col("fore")) & (t == F.col("back"))
+    met = lambda s, t, b, c: F.lit(True) if whole else (b == c) | (s == F.col("fore")) & (t == F.col("back"))
     gap1 = (F.abs(s1 - start) <= within) & met(start, s1, back, b1)
     gap2 = (F.abs(s2 - s1) <= within) & met(s1, s2, b1, b2)
     pair = _spelled(tuple(s for s in rules.SEEDS if len(s) == 2)) & gap1

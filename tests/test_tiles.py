@@ -168,3 +168,9 @@ def test_tasks_do_not_hang_on_adaptive_execution(spark, stored, what):
         assert plan_of(out).count("REPARTITION_BY_NUM") == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_whole_contigs_take_few_windows(spark, stored):
+    """In a contig's order only its turn has neighbours of two strands: windows that look for the turn were most of those over contigs."""
+    plan = plan_of(asm.assemble(mo.dedup_adjacent(stored, whole=True), whole=True))
+    assert "fore" not in plan and plan.count("lead(") <= 4
